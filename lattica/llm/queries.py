@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op2_best_fit_packing
 from .token_store import op1_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
+    "op2_best_fit_packing": op2_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
