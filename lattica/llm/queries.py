@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op2_best_fit_packing
 from .token_store import op1_token_ids
+from .warc import OP3_SQL, op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_warc": op3_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": OP3_SQL,
+}
