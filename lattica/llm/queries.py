@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op2_best_fit_packing
+from .pii import op9_personal_data
 from .secret_scan import op5_secret_scan
 from .token_store import op1_token_ids
 from .warc import OP3_SQL, op3_warc
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc": op3_warc,
     "op5_secret_scan": op5_secret_scan,
+    "op9_personal_data": op9_personal_data,
 }
 
 ORACLE_SQL: dict[str, str] = {
