@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op2_best_fit_packing
 from .pii import op9_personal_data
+from .quality import op10_quality_rules
 from .secret_scan import op5_secret_scan
 from .token_store import op1_token_ids
 from .warc import OP3_SQL, op3_warc
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op5_secret_scan": op5_secret_scan,
     "op9_personal_data": op9_personal_data,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
