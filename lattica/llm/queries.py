@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .license_scan import op7_license_scan
 from .packing import op2_best_fit_packing
 from .pii import op9_personal_data
 from .quality import op10_quality_rules
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc": op3_warc,
     "op5_secret_scan": op5_secret_scan,
+    "op7_license_scan": op7_license_scan,
     "op9_personal_data": op9_personal_data,
     "op10_quality_rules": op10_quality_rules,
 }
