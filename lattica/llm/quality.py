@@ -152,7 +152,8 @@ def verdict(stratum: str, cutoffs: dict[str, dict[str, float]]) -> Column:
         limit = None
         for name, cuts in sorted(cutoffs.items()):
             if rule in cuts:
-                limit = (limit or F).when(s == name, F.lit(cuts[rule]))
+                here = s == name, F.lit(cuts[rule])
+                limit = F.when(*here) if limit is None else limit.when(*here)
         if limit is not None:
             ok = ok & (score <= limit.otherwise(F.lit(1.0)))
     return ok
