@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op4_jaccard_join
 from .license_scan import op7_license_scan
 from .packing import op2_best_fit_packing
 from .pii import op9_personal_data
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_warc": op3_warc,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
     "op7_license_scan": op7_license_scan,
     "op9_personal_data": op9_personal_data,
