@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op8_nn_descent
 from .jaccard import op4_jaccard_join
 from .license_scan import op7_license_scan
 from .packing import op2_best_fit_packing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
     "op7_license_scan": op7_license_scan,
+    "op8_nn_descent": op8_nn_descent,
     "op9_personal_data": op9_personal_data,
     "op10_quality_rules": op10_quality_rules,
 }
