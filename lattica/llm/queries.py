@@ -11,6 +11,7 @@ from .jaccard import op4_jaccard_join
 from .license_scan import op7_license_scan
 from .packing import op2_best_fit_packing
 from .pii import op9_personal_data
+from .pieces import op6_sentencepiece
 from .quality import op10_quality_rules
 from .secret_scan import op5_secret_scan
 from .token_store import op1_token_ids
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_secret_scan": op5_secret_scan,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_license_scan": op7_license_scan,
     "op8_nn_descent": op8_nn_descent,
     "op9_personal_data": op9_personal_data,

@@ -7,15 +7,22 @@ once and gathering ids by table lookup therefore gives exactly the ids of the wh
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks kept per worker process before the cache starts anew (a memory bound, not a result bound).
-CACHE_CHUNKS = 400_000
+#: Chunks kept per worker process; beyond, those met only once or twice go (a memory bound, not a result bound).
+CACHE_CHUNKS = 350_000
+#: Chunks given to the library at once.
+ENCODE_CHUNKS = 20_000
 
 _WEIRD = re.compile(r" (?:\s|$)")
+_WEIRD_RE2 = r" \z|[ \n][\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]"
 _loaded: dict[tuple[str, bool], ChunkTokenizer] = {}
 
 
@@ -25,7 +32,113 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class ChunkTokenizer:
+def _uncached(path: str):
+    """The file's merge model without the library's own cache, which only costs time for distinct chunks."""
+    from tokenizers import models
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    if model.pop("type") != "BPE":
+        raise ValueError(f"not a BPE vocabulary: {path}")
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.pop("merges")]
+    return models.BPE(vocab=model.pop("vocab"), merges=merges, cache_capacity=0, **{k: v for k, v in model.items() if v is not None})
+
+
+class _Index(dict):
+    """Numbers chunks as they are met; fresh: those not encoded yet."""
+
+    def __init__(self) -> None:
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.fresh.append(chunk)
+        return n
+
+
+class ChunkCache:
+    """Ids of chunks, kept in flat arrays; subclasses encode chunks that are met for the first time.
+
+    leading_space: chunks keep the space in front of them; bare_first: a text's first one has none.
+    odd: texts that are cut by chunks() one by one, as spaces meet other white space in them.
+    """
+
+    odd = _WEIRD_RE2
+    bare_first = True
+
+    def __init__(self, leading_space: bool) -> None:
+        self.leading_space = leading_space
+        self.bare_first = self.bare_first and leading_space
+        self.index = _Index()
+        self.flat = np.zeros(0, np.uint32)
+        self.starts = self.lengths = self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the chunks met at least three times, if those are few enough."""
+        often = self.uses >= 3
+        if often.sum() > CACHE_CHUNKS // 2:
+            often[:] = False
+        index = _Index()
+        for chunk, keep in zip(self.index, often.tolist()):
+            if keep:
+                index[chunk] = len(index)
+        lengths, starts = self.lengths[often], self.starts[often]
+        ends = np.cumsum(lengths)
+        self.flat = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        self.index, self.lengths, self.starts, self.uses = index, lengths, ends - lengths, np.zeros(len(index), np.int64)
+
+    def _learn(self) -> None:
+        fresh, self.index.fresh = self.index.fresh, []
+        for i in range(0, len(fresh), ENCODE_CHUNKS):
+            lengths, flat = self._encode_chunks(fresh[i : i + ENCODE_CHUNKS])
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.uses = np.concatenate([self.uses, np.zeros(len(lengths), np.int64)])
+            self.flat = np.concatenate([self.flat, flat])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts (strings, no nulls) in a row, and how many belong to each text."""
+        if len(self.index) > CACHE_CHUNKS:
+            self._forget()
+        number = self.index.__getitem__
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.leading_space else np.zeros(len(texts), bool)
+        # a line feed between other characters is a split too; without leading spaces it is only white space
+        lines = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n" if self.leading_space else " ")
+        pieces = pc.split_pattern(lines, " ")
+        bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py() if len(pieces) else np.zeros(1, np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        if self.leading_space:
+            keys = [c if c[:1] == "\n" or not c else " " + c for c in keys]
+        distinct = np.fromiter(map(number, keys), np.int64, len(keys))
+        even = distinct[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+        if self.bare_first and len(even):  # a text's first chunk has no space
+            firsts = bounds[:-1]
+            even[firsts] = [number(c) for c in coded.take(pa.array(firsts)).to_pylist()]
+        if odd.any():
+            counts, places, k = np.zeros(len(texts), np.int64), [], 0
+            counts[~odd] = np.diff(bounds)
+            for i in range(len(texts)):
+                if odd[i]:
+                    chunks = self.chunks(texts[i].as_py())
+                    counts[i] = len(chunks)
+                    places.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
+                else:
+                    places.append(even[bounds[k] : bounds[k + 1]])
+                    k += 1
+            even = np.concatenate(places)
+        else:
+            counts = np.diff(bounds)
+        self._learn()
+        at = even
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(bounds)
+
+class ChunkTokenizer(ChunkCache):
     """ids of whole texts.  leading_space: chunks keep their space (byte-level), else spaces are dropped."""
 
     def __init__(self, path: str, leading_space: bool) -> None:
@@ -34,14 +147,38 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.leading_space = leading_space
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.tokenizer.model = _uncached(path)  # chunks are cached here
+        super().__init__(leading_space)
+        # a line feed is a token of its own between chunks without white space; so is a digit between spaces
+        self.mark = "\n" if leading_space else " 1 "
+        self._plain = re.compile(r" ?\S+" if leading_space else r"[^\s1]*").fullmatch
+        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain chunks go to the library joined by a mark whose one id no plain chunk contains."""
+        fed = np.fromiter((c[:1] == "\n" and len(c) > 1 and not c[1].isspace() for c in chunks), bool, len(chunks))
+        chunks = [c[1:] if f else c for c, f in zip(chunks, fed.tolist())]
+        plain = np.fromiter((self._plain(c) is not None for c in chunks), bool, len(chunks))
+        single = [e.ids for e in self.tokenizer.encode_batch_fast([c for c, p in zip(chunks, plain) if not p], add_special_tokens=False)]
+        joined = [c for c, p in zip(chunks, plain) if p]
+        groups = [self.mark.join(joined[i : i + 500]) for i in range(0, len(joined), 500)]
+        ids = [np.array([*e.ids, self.mark_id], np.uint32) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+        ids = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        is_mark = ids == self.mark_id
+        ends = np.flatnonzero(is_mark)
+        if len(ends) != len(joined):
+            raise ValueError("the mark's id occurs within a chunk")
+        lengths = np.empty(len(chunks), np.int64)
+        lengths[plain] = np.diff(ends, prepend=-1) - 1
+        lengths[~plain] = [len(x) for x in single]
+        flat = np.empty(int(lengths.sum()), np.uint32)
+        of_plain = np.repeat(plain, lengths)
+        flat[of_plain] = ids[~is_mark]
+        flat[~of_plain] = list(chain.from_iterable(single))
+        if fed.any():  # a line feed in front is a token of its own
+            flat = np.insert(flat, (np.cumsum(lengths) - lengths)[fed], np.uint32(self.mark_id))
+            lengths += fed
+        return lengths, flat
 
     def chunks(self, text: str) -> list[str]:
         parts = text.split(" ")
@@ -58,32 +195,6 @@ class ChunkTokenizer:
                 out[-1] += " " + p
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of all texts in a row, and how many belong to each text."""
-        if len(self.index) > CACHE_CHUNKS:
-            self._reset()
-        index, known = self.index, len(self.index)
-        counts = np.zeros(len(texts), np.int64)
-        where: list[int] = []
-        for i, text in enumerate(texts):
-            at = len(where)
-            where += [index.setdefault(c, len(index)) for c in self.chunks(text)] if text else []
-            counts[i] = len(where) - at
-        if len(index) > known:
-            fresh = list(index)[known:]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            flat = np.fromiter((x for ids in encoded for x in ids), np.uint32, int(lengths.sum()))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.flat = np.concatenate([self.flat, flat])
-        at = np.fromiter(where, np.int64, len(where))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
-
 
 def tokenizer(path: str, leading_space: bool) -> ChunkTokenizer:
     """One per worker process and vocabulary."""
