@@ -43,7 +43,7 @@ def make_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = C
 
         t, part, seen = tokenizer(vocabulary, False), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches(it):
-            ids, counts = with_end(*t.encode(b["text"].to_pylist()), end_id)
+            ids, counts = with_end(*t.encode(b["text"]), end_id)
             pieces = -(-counts // capacity)
             row = np.repeat(np.arange(len(counts)), pieces)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

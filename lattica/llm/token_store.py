@@ -26,7 +26,7 @@ from .tokenize import tokenizer, vocabulary_path, with_end
 
 MAGIC = b"LTK1"
 #: UTF-8 bytes of text in a shard, about: a worker holds one shard at a time.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 
 _LEN = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
 _OFF = np.cumsum(_LEN, axis=1) - _LEN
@@ -35,18 +35,19 @@ _TOTAL = _LEN.sum(axis=1)
 
 def pack_ids(ids: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
     """(vocabulary by falling frequency, control bytes, data bytes)."""
-    vocab, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((vocab, -counts))
-    rank = np.empty(len(vocab), np.uint32)
-    rank[order] = np.arange(len(vocab), dtype=np.uint32)
-    ranks = rank[inverse]
+    counts = np.bincount(ids)
+    vocab = np.flatnonzero(counts)
+    vocab = vocab[np.argsort(-counts[vocab], kind="stable")].astype(np.uint32)
+    rank = np.zeros(len(counts), np.uint32)
+    rank[vocab] = np.arange(len(vocab), dtype=np.uint32)
+    ranks = rank[ids]
     size = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
     padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     padded[: len(ranks)] = size - 1
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
     raw = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return vocab[order], control.astype(np.uint8).tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    return vocab, control.astype(np.uint8).tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
 
 
 def unpack_ids(vocab: np.ndarray, control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -73,11 +74,11 @@ def write_shard(doc_ids: np.ndarray, null_ids: np.ndarray, counts: np.ndarray, i
     return b"".join([head, *(x.tobytes() for x in arrays), control, data])
 
 
-def read_shard(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def read_shard(blob) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, null_ids, counts, ids)."""
-    if blob[:4] != MAGIC:
+    if bytes(blob[:4]) != MAGIC:
         raise ValueError("not a token shard")
-    n_docs, n, n_vocab = (int.from_bytes(blob[a:b], "little") for a, b in ((4, 8), (8, 16), (16, 20)))
+    n_docs, n, n_vocab = (int.from_bytes(bytes(blob[a:b]), "little") for a, b in ((4, 8), (8, 16), (16, 20)))
     at = 20
 
     def take(kind: str, count: int) -> np.ndarray:
@@ -108,7 +109,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
         t = tokenizer(vocabulary, True)
         parts = []
         for b in batches(it):
-            ids, counts = with_end(*t.encode(b["text"].to_pylist()), end_id)
+            ids, counts = with_end(*t.encode(b["text"]), end_id)
             parts.append((b["doc_id"], ids, counts))
         if parts:
             doc_id = pa.concat_arrays([p[0] for p in parts])
@@ -119,35 +120,38 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_co
     ranged.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the shards under path: shard, place, doc_id, local_start, n_tokens, ids (u32, little endian)."""
+def _decoded(spark: SparkSession, path: str, column: str, kind: str, make) -> DataFrame:
+    """Per document of the shards under path, with make(ids as bytes) as a column."""
     tune(spark)
 
     def decode(it):
         for b in batches(it):
             for name, blob in zip(b["path"].to_pylist(), b["content"]):
-                blob = blob.as_py()
-                if blob[:4] != MAGIC:  # a task without rows leaves an empty file
+                blob = blob.as_buffer()
+                if len(blob) < 4:  # a task without rows leaves an empty file
                     continue
                 doc_ids, nulls, counts, ids = read_shard(blob)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B") if len(ids) else memoryview(b"")
                 ends = np.cumsum(counts.astype(np.int64))
-                step = 2000
-                for i in range(0, len(doc_ids), step):
-                    s = slice(i, i + step)
+                for i in range(0, len(doc_ids), 500):
+                    s = slice(i, i + 500)
                     yield pa.record_batch(
                         {
                             "shard": pa.array([name] * len(counts[s])),
-                            "place": pa.array(np.arange(i, i + len(counts[s]))),
                             "doc_id": pa.array(doc_ids[s], mask=nulls[s]),
                             "local_start": pa.array((ends - counts)[s]),
                             "n_tokens": pa.array(counts[s].astype(np.int64)),
-                            "ids": pa.array([bytes(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends[s].tolist(), counts[s].tolist())], pa.binary()),
+                            column: pa.array([make(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends[s].tolist(), counts[s].tolist())], kind),
                         }
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(decode, "shard string, place long, doc_id long, local_start long, n_tokens long, ids binary")
+    return files.mapInArrow(decode, f"shard string, doc_id long, local_start long, n_tokens long, {column} {'binary' if kind == 'binary' else 'long'}")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """Per document of the shards under path: shard, doc_id, local_start, n_tokens, ids (u32, little endian)."""
+    return _decoded(spark, path, "ids", "binary", bytes)
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
@@ -156,18 +160,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     The ids' checksums are taken next to the decoder; only a few numbers per document are staged.
     Shards are ordered by their first document; one row per shard meets in the running sum.
     """
-
-    def digest(it):
-        for b in batches(it):
-            yield pa.record_batch(
-                {
-                    **{c: b[c] for c in ("shard", "place", "doc_id", "local_start", "n_tokens")},
-                    "ids_crc32": pa.array([zlib.crc32(x.as_buffer()) for x in b["ids"]], pa.int64()),
-                }
-            )
-
-    rows = read_tokens(spark, path).mapInArrow(digest, "shard string, place long, doc_id long, local_start long, n_tokens long, ids_crc32 long")
-    rows = staged(rows, "token-index")
+    rows = staged(_decoded(spark, path, "ids_crc32", "int64", zlib.crc32), "token-index")
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # part-00000-..., part-00001-...: the writer numbers files by range; a few bytes per shard
     sizes = sorted((int(r["shard"].rsplit("/part-", 1)[1].split("-")[0]), r["shard"], r["n"]) for r in shards.collect())
