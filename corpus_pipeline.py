@@ -7,10 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lattica.llm.common import read_table, staged
+from lattica.llm.jaccard import without_near_copies
+from lattica.llm.packing import pack_documents
+from lattica.llm.quality import keep_good
+from lattica.llm.secret_scan import redact_secrets
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
-#: The stages tokenise, learn thresholds and pack: SQL can't express them.
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return without_near_copies(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are cut out of the texts."""
+    return redact_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces and their places in sequences of 2048."""
+    return pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+
+#: The stages learn thresholds, compare sets of 64-bit hashes, tokenise and pack: SQL can't express them.
 ORACLE_SQL = None
 
 

@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches, mix64, read_table, staged, text_rows, tune
@@ -40,7 +40,7 @@ SEGMENT = 1 << 20
 DENSE = 512
 #: Shuffled blobs of signature entries: how many key ranges, and entries held before they are sent.
 RANGES, HELD = 1024, 2_000_000
-#: Ids are broadcast up to so many (8 bytes each); beyond, texts are joined by shuffle.
+#: Ids and names of sets are broadcast up to so many (at most 32 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Classes of a block in the comparison of what stays apart, and members of one leader compared in a task.
 BLOCK, FOLLOWERS = 200, 300
@@ -383,7 +383,8 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
     by_set = full.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("id"))
     by_set = staged(by_set, "jaccard-classes")
-    chosen = full.withColumnRenamed("doc_id", "id").join(by_set, ["set_a", "set_b", "n", "id"], "left_semi")
+    few = by_set.count() <= BROADCAST_IDS
+    chosen = full.withColumnRenamed("doc_id", "id").join(F.broadcast(by_set) if few else by_set, ["set_a", "set_b", "n", "id"], "left_semi")
     # an id that names several sets must not stand for any of them in links
     twice = staged(by_set.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "jaccard-twice")
     if not twice.isEmpty():
@@ -409,5 +410,23 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with one document left of each component: that of the least id.
+
+    A repeated id is one document, of which the least text stays; rows without an id stay.
+    """
+    named = staged(join_components(docs, k, num, den, id_col, text_col).where("doc_id IS NOT NULL").select("doc_id", "component_id"), "jaccard-named")
+    own = F.col(f"`{id_col}`").cast("long")
+    gone = staged(named.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
+    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, own == F.col("_gone"), "left_anti")
+    twice = named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_twice"))
+    twice = staged(twice, "jaccard-repeated")
+    if twice.isEmpty():
+        return rest
+    place = F.row_number().over(Window.partitionBy(own).orderBy(F.col(f"`{text_col}`")))
+    again = rest.join(twice, own == F.col("_twice"), "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
+    return rest.join(twice, own == F.col("_twice"), "left_anti").unionByName(again)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100).drop("class_id")

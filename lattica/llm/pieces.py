@@ -114,8 +114,8 @@ def _big_endian(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class PieceCodec(ChunkCache):
-    #: A space in front would join the one that the model adds.
-    odd = r"\A[ \n]|" + ChunkCache.odd
+    #: A space in front would join the one that the model adds, a mark the spaces around it.
+    odd = r"\A[ \n]|▁|" + ChunkCache.odd
     bare_first = False
 
     def __init__(self, path: str) -> None:

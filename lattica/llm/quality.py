@@ -27,6 +27,8 @@ WINDOW = 8
 #: False rejections allowed per stratum, over all rules, and the chance that any bound fails.
 ALPHA, DELTA = 0.005, 0.05
 BINS = 64
+#: Labelled ids are broadcast up to so many (8 bytes each); beyond, they are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 RULES = ("symbols", "capitals", "marks", "dup_lines", "repeats", "odd_lengths")
 
 
@@ -159,6 +161,20 @@ def verdict(stratum: str, cutoffs: dict[str, dict[str, float]]) -> Column:
     return ok
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that pass the base rule and the rules learnt from labels.
+
+    Only labelled documents are measured for the cutoffs; their ids are broadcast up to BROADCAST_IDS.
+    """
+    good = staged(labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct(), "quality-good")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), F.col(f"`{text_col}`").alias("text"))
+    known = rows.drop("row").join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, F.col("doc_id") == F.col("_id"), "left_semi")
+    cutoffs = fit(staged(measured(known).drop("text"), "quality-known"), labels, "stratum")
+    # a row number in the condition keeps it above the measuring steps, which would else be repeated inside it
+    numbered = measured(rows).withColumn("_nth", F.monotonically_increasing_id())
+    return numbered.where(~base_failed() & verdict("stratum", cutoffs) & (F.col("_nth") >= 0)).select("row.*")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     features = staged(measured(docs).drop("text"), "quality")

@@ -88,22 +88,48 @@ def log_ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, step(i)))
 
 
-def scan(docs: DataFrame, model: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, base and all spans (array of start, rank, end, kind, sorted)."""
-    rows = text_rows(docs, id_col, text_col)
-    model = model or train(labelled_samples(rows))
-    found = rows.select("doc_id", "text", *(c.alias(k) for k, c in base_spans(F.col("text")).items()), S.find_spans(F.col("text"), _CANDIDATE).alias("candidate"))
-    base = S.merged([S.tagged(F.col(k), k, i) for i, k in enumerate(KINDS[:3])])
-    free = S.outside(F.col("candidate"), F.col("base"))
+def with_spans(rows: DataFrame, model: list[float]) -> DataFrame:
+    """rows (a column `text` without nulls, others are kept) with n_assign, n_access, n_hex, base and all spans.
+
+    Spans are arrays of (start, rank, end, kind), sorted.
+    """
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    found = rows.select(*kept, *(c.alias(f"_{k}") for k, c in base_spans(F.col("text")).items()), S.find_spans(F.col("text"), _CANDIDATE).alias("_candidate"))
+    found = found.withColumn("base", S.merged([S.tagged(F.col(f"_{k}"), k, i) for i, k in enumerate(KINDS[:3])]))
+    free = S.outside(F.col("_candidate"), F.col("base"))
 
     def is_secret(s: Column) -> Column:
         ratio = log_ratio(s["match"], model)
         return (ratio >= LOG_ODDS) & (ratio >= MEAN_RATIO * (F.length(s["match"]) - 1))
 
-    found = found.withColumn("base", base)
-    random = F.when(F.size("candidate") > 0, F.filter(free, is_secret)).otherwise(F.array().cast(S.SPAN))
-    found = found.withColumn("added", S.tagged(random, "random", 3))
-    return found.select("doc_id", "text", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), "base", F.when(F.size("added") > 0, S.merged([F.col("base"), F.col("added")])).otherwise(F.col("base")).alias("spans"))
+    random = F.when(F.size("_candidate") > 0, F.filter(free, is_secret)).otherwise(F.array().cast(S.SPAN))
+    found = found.withColumn("_added", S.tagged(random, "random", 3))
+    spans = F.when(F.size("_added") > 0, S.merged([F.col("base"), F.col("_added")])).otherwise(F.col("base"))
+    return found.select(*kept, *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS[:3]), "base", spans.alias("spans"))
+
+
+def scan(docs: DataFrame, model: list[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, text, n_assign, n_access, n_hex, base, spans."""
+    rows = text_rows(docs, id_col, text_col)
+    return with_spans(rows, model or train(labelled_samples(rows)))
+
+
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs, all columns, with every span replaced in the text and the length counted anew."""
+    model = train(labelled_samples(text_rows(docs, id_col, text_col)))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    found = with_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text")), model)
+    done = found.select("row", F.size("spans").alias("n"), redacted(F.col("text"), F.col("spans")).alias("text"))
+
+    def column(c: str) -> Column:
+        old = F.col(f"row.`{c}`")
+        if c == text_col:
+            return F.when(F.col("n") > 0, F.col("text")).otherwise(old).alias(c)
+        if c == length_col:
+            return F.when(F.col("n") > 0, F.length("text").cast(dict(docs.dtypes)[c])).otherwise(old).alias(c)
+        return old.alias(c)
+
+    return done.select(*map(column, docs.columns))
 
 
 def redacted(text: Column, spans: Column) -> Column:
