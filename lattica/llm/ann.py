@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import batches, drop_staged, read_table, staged, tune
 
 #: Graph degree, rounds of NN-descent, members of a joined group, neighbours that a group draws from.
-DEGREE, ROUNDS, GROUP = 24, 7, 48
+DEGREE, ROUNDS, GROUP = 32, 8, 64
 #: A round that changes less than this share of all edges is the last.
 SETTLED = 0.002
 #: Beam of the search, nodes expanded per query and round, and most rounds.
-BEAM, EXPAND, HOPS = 64, 8, 12
+BEAM, EXPAND, HOPS = 192, 24, 12
 #: Entry nodes common to all queries (a fixed number, by hash of the id), and queries compared with them at once.
 ENTRIES = 512
 BLOB = "vector binary"
@@ -86,13 +86,14 @@ def _best(df: DataFrame, k: int) -> DataFrame:
 
     def per_task(it):
         """Over all batches of a task: merged whenever many rows are held."""
-        held, size = [], 0
+        held, size, limit = [], 0, 500_000
         for b in batches(it):
             held.append(b)
             size += b.num_rows
-            if size > 500_000:
+            if size > limit:
                 held = list(top([pa.Table.from_batches(held).combine_chunks().to_batches()[0]]))
                 size = sum(b.num_rows for b in held)
+                limit = 2 * size + 500_000  # what stays must not be sorted again and again
         if held:
             yield from top([pa.Table.from_batches(held).combine_chunks().to_batches()[0]])
 
@@ -101,10 +102,13 @@ def _best(df: DataFrame, k: int) -> DataFrame:
 
 
 def _pairs_of_groups(rows: DataFrame, k: int) -> DataFrame:
-    """Distances of all pairs in a group of which one is fresh.  rows: g, part, id, fresh, vector; sorted within tasks."""
+    """Pairs (u, v, dist) of a group of which one is fresh and v may be nearer to u than u's worst neighbour.
+
+    rows: g, part, id, fresh, reach (distance of the worst neighbour, or infinite), vector.
+    """
 
     def join(it):
-        at, ids, fresh, blobs = None, [], [], []
+        at, ids, fresh, reach, blobs = None, [], [], [], []
 
         def close():
             if len(ids) < 2 or not any(fresh):
@@ -113,7 +117,9 @@ def _pairs_of_groups(rows: DataFrame, k: int) -> DataFrame:
             i, f = np.array(ids), np.array(fresh)
             square = (x * x).sum(axis=1)
             d = np.maximum(square[:, None] + square[None, :] - 2 * x @ x.T, 0)
-            d[~(f[:, None] | f[None, :]) | (i[:, None] == i[None, :])] = np.inf
+            # a little slack: these distances are only for choosing
+            far = d > (np.array(reach) ** 2 * (1 + 1e-9) + 1e-9 * square)[:, None]
+            d[far | ~(f[:, None] | f[None, :]) | (i[:, None] == i[None, :])] = np.inf
             near = np.argsort(d, axis=1, kind="stable")[:, :k]
             a = np.repeat(np.arange(len(i)), near.shape[1])
             b = near.reshape(-1)
@@ -128,27 +134,28 @@ def _pairs_of_groups(rows: DataFrame, k: int) -> DataFrame:
             return pa.record_batch({"u": pa.array(u), "v": pa.array(v), "dist": pa.array(d), "fresh": pa.array(np.ones(len(u), bool))})
 
         for b in batches(it):
-            for g, part, i, f, x in zip(*(b[c].to_pylist() for c in ("g", "part", "id", "fresh", "vector"))):
+            for g, part, i, f, r, x in zip(*(b[c].to_pylist() for c in ("g", "part", "id", "fresh", "reach", "vector"))):
                 if (g, part) != at:
-                    if r := close():
-                        out.append(r)
-                        size += len(r[0])
+                    if found := close():
+                        out.append(found)
+                        size += len(found[0])
                         if size > 50_000:
                             yield flush()
                             out, size = [], 0
-                    at, ids, fresh, blobs = (g, part), [], [], []
+                    at, ids, fresh, reach, blobs = (g, part), [], [], [], []
                 if not ids or ids[-1] != i:
                     ids.append(i)
                     fresh.append(f)
+                    reach.append(r)
                     blobs.append(x)
-        if r := close():
-            out.append(r)
+        if found := close():
+            out.append(found)
         if out:
             yield flush()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_rows = rows.repartition(n, "g", "part").sortWithinPartitions("g", "part", "id", F.desc("fresh"))
-    return sorted_rows.select("g", "part", "id", "fresh", "vector").mapInArrow(join, "u long, v long, dist double, fresh boolean")
+    return sorted_rows.select("g", "part", "id", "fresh", "reach", "vector").mapInArrow(join, "u long, v long, dist double, fresh boolean")
 
 
 def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
@@ -182,9 +189,9 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) ->
             for b in batches(it):
                 at = np.arange(k, k + b.num_rows) // GROUP
                 k += b.num_rows
-                yield pa.record_batch({"g": pa.array(at.astype(np.int64)), "part": pa.array(np.full(len(at), part * 8 + seed, np.int64)), "id": b["id"], "fresh": pa.array(np.ones(len(at), bool)), "vector": b["vector"]})
+                yield pa.record_batch({"g": pa.array(at.astype(np.int64)), "part": pa.array(np.full(len(at), part * 8 + seed, np.int64)), "id": b["id"], "fresh": pa.array(np.ones(len(at), bool)), "reach": pa.array(np.full(len(at), np.inf)), "vector": b["vector"]})
 
-        starts.append(ranged.mapInArrow(cut, f"g long, part long, id long, fresh boolean, {BLOB}"))
+        starts.append(ranged.mapInArrow(cut, f"g long, part long, id long, fresh boolean, reach double, {BLOB}"))
     first = starts[0].unionByName(starts[1]).unionByName(starts[2])
     graph = staged(_best(_pairs_of_groups(first, degree), degree), "ann-graph")
 
@@ -194,8 +201,10 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) ->
         parts = edges.groupBy("g").agg(F.count("*").alias("c")).select("g", F.ceil(F.col("c") / (2 * GROUP)).cast("long").alias("parts"))
         dealt = edges.join(parts, "g").select("g", F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "fresh")
         own = parts.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("g").alias("id"), F.lit(False).alias("fresh"))
-        members = dealt.unionByName(own).join(nodes, "id").select("g", "part", "id", "fresh", "vector")
-        tried = _pairs_of_groups(members, degree // 2)
+        worst = graph.groupBy("u").agg(F.max("dist").alias("far"), F.count("*").alias("c"))
+        known = nodes.join(worst, nodes["id"] == worst["u"], "left").select("id", "vector", F.when(F.col("c") >= degree, F.col("far")).otherwise(F.lit(float("inf"))).alias("reach"))
+        members = dealt.unionByName(own).join(known, "id").select("g", "part", "id", "fresh", "reach", "vector")
+        tried = _pairs_of_groups(members, degree)
         old = graph.select("u", "v", "dist", F.lit(False).alias("fresh"))
         better = staged(_best(tried.unionByName(old), degree), "ann-graph")
         changed = better.where("fresh").count()
