@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.functions import dims, scalar
-from lattica.operators import evaluate, graph, security, splits, stats
+from lattica.functions import dims, parsing, scalar
+from lattica.operators import evaluate, extract, graph, security, splits, stats
 from lattica.plans.views import EG, SG, event_graph, security_graph, table
+from lattica.sources import readers, writers
+from lattica.sources.staging import shared_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -784,3 +786,106 @@ def ag22_ag23_retention(spark, d):
     """Only records that had the role count in the denominator."""
     had, kept = F.col("l_quantity") > 25, F.col("l_linestatus") == "O"
     return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("risk")).agg(F.count_if(kept).alias("kept"), F.count_if(had).alias("had"), F.round(100.0 * F.count_if(kept & had) / F.greatest(F.lit(1), F.count_if(had)), 2).alias("pct"))
+
+
+# ---------------------------------------------------------------- parsing, extraction, sources, sinks
+
+
+def _nested_events(spark, d):
+    return extract.nested(*event_graph(spark, d))
+
+
+@query(f"WITH {EG} SELECT DISTINCT arch_id, source, target FROM edges")
+def gr1_diagram_round_trip(spark, d):
+    """GR1, PR30: every event graph written as diagram text and parsed again."""
+    g = _nested_events(spark, d).where(F.size("edges") > 0)
+    safe = lambda c: F.replace(c, F.lit("-"), F.lit("_"))
+    body = F.array_join(F.transform("edges", lambda e: F.concat(safe(e["source"]), F.lit(" --> "), safe(e["target"]))), "\n")
+    parsed = parsing.with_diagram(g.select("arch_id", F.concat(F.lit("flowchart LR\n"), body).alias("text")), "text")
+    back = lambda c: F.replace(c, F.lit("_"), F.lit("-"))
+    return parsed.select("arch_id", F.explode("edges").alias("e")).select("arch_id", back(F.col("e.source")).alias("source"), back(F.col("e.target")).alias("target"))
+
+
+@query(f"WITH {EG}, s AS (SELECT n.arch_id, n.n, coalesce(m.m, 0) AS m FROM (SELECT arch_id, count(*) AS n FROM nodes GROUP BY 1) n LEFT JOIN (SELECT arch_id, count(*) AS m FROM edges GROUP BY 1) m USING (arch_id)) SELECT arch_id, n::INT AS n_nodes, CASE WHEN m = 0 THEN 'Architecture JSON must include at least one node and one edge' WHEN n > 10 THEN 'Architecture exceeds node limit: ' || n || ' nodes > 10' WHEN m > 15 THEN 'Architecture exceeds edge limit: ' || m || ' edges > 15' END AS error FROM s")
+def gr2_pr12_pr13_payloads(spark, d):
+    """GR2, PR12 to PR14: every event graph as model output, with prose around it, parsed under the contract."""
+    g = _nested_events(spark, d)
+    text = F.concat(F.lit("Here it is: "), F.to_json(F.struct("nodes", "edges")), F.lit(" // done"))
+    p = parsing.with_payload(g.select("arch_id", F.size("nodes").alias("n_nodes"), text.alias("text")), "text")
+    return p.select("arch_id", "n_nodes", "error")
+
+
+@query()
+def gr16_subgraphs(spark, d):
+    """GR13, GR14, GR16.  Tested against the rules on hand-made graphs and by gr18."""
+    out = extract.extract(_nested_events(spark, d))
+    return out.select("arch_id", F.array_join("chosen", ",").alias("chosen"), F.size("edges").alias("n_edges"), "node_ratio", "edge_ratio", "reason")
+
+
+@query("SELECT 0::BIGINT AS problems")
+def gr18_verified_subgraphs(spark, d):
+    """GR17, GR18, JO1: problems found in all extracted subgraphs; there must be none."""
+    g = staged(_nested_events(spark, d), "parents")
+    return extract.verify(extract.extract(g), g).agg(F.sum(F.size("problems")).cast("long").alias("problems"))
+
+
+@query("SELECT event_id, event_type, value FROM events WHERE event_type = 'purchase'")
+def sk2_sc3_json_round_trip(spark, d):
+    """SK1, SK2, SC3: reviewed rows written as JSON lines and read strictly."""
+    path = shared_path(spark, "lines")
+    e = table(spark, d, "events")
+    writers.export_lines(e.select("event_id", "event_type", "value", (F.col("event_type") == "purchase").alias("reviewed")), path)
+    return readers.strict_lines(spark, path, "event_id BIGINT, event_type STRING, value DOUBLE")
+
+
+@query("SELECT 'r' || printf('%04d', (n - 1) // 2000) AS range_id, count(*) - sum((event_type = 'error')::INT)::BIGINT AS records, sum((event_type = 'error')::INT)::BIGINT AS skipped FROM (SELECT event_type, row_number() OVER (ORDER BY event_id) AS n FROM events) GROUP BY 1")
+def sk3_sk4_shards(spark, d):
+    """SK3, SK4, AG22: shards, dead letters and their manifest."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_type") == "error", "rejected event").alias("reason"))
+    return writers.write_shards(e, "event_id", 2000, shared_path(spark, "shards"), "reason").select("range_id", "records", "skipped")
+
+
+@query("SELECT * FROM (VALUES ('r0', 'skip'), ('r1', 'checksum_conflict_skipped'), ('r2', 'orphan_shard_skipped'), ('r3', 'write')) t(range_id, action)")
+def st2_resume_plan(spark, d):
+    wanted = spark.createDataFrame([("r0",), ("r1",), ("r2",), ("r3",)], "range_id string")
+    recorded = spark.createDataFrame([("r0", "complete", "a"), ("r1", "complete", "b")], "range_id string, status string, shard_sha256 string")
+    present = spark.createDataFrame([("r0", "a"), ("r1", "x"), ("r2", "c")], "range_id string, observed_sha256 string")
+    return writers.resume_plan(wanted, recorded, present)
+
+
+@query("SELECT event_type, row_number() OVER (ORDER BY min(event_id)) - 1 AS code FROM events GROUP BY 1")
+def sc12_first_seen_codes(spark, d):
+    return readers.first_seen_codes(table(spark, d, "events"), "event_type", "event_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 25")
+def sc9_sp7_split_rows(spark, d):
+    x = _docs(spark, d).select("doc_id", "lang", F.col("lang").alias("split"))
+    return readers.split_rows(x, "de", id_col="doc_id", limit=25).select("doc_id", "lang")
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title FROM pages")
+def sc11_templates(spark, d):
+    return table(spark, d, "pages").select("page_id", readers.template(F.col("html"), "<title>(.*?)</title>").alias("title"))
+
+
+@query(f"""WITH {EG}, {_KEYS}, r AS (SELECT arch_id, full_key, row_number() OVER (PARTITION BY full_key ORDER BY arch_id) AS nth FROM keys), {FIRST_REASON}
+SELECT arch_id, CASE WHEN reason <> 'accepted' THEN reason WHEN nth > 1 THEN 'duplicate architecture' ELSE 'accepted' END AS reason FROM gate JOIN (SELECT g.arch_id, row_number() OVER (PARTITION BY full_key, reason = 'accepted' ORDER BY g.arch_id) AS nth FROM gate g JOIN keys USING (arch_id)) USING (arch_id)""")
+def qg1_dd2_full_gate(spark, d):
+    """QG1 with the duplicate check last: only graphs that pass the other checks can be first."""
+    g = staged(_nested_events(spark, d), "gate")
+    n = g.select("arch_id", F.explode("nodes").alias("n")).select("arch_id", F.col("n.id").alias("node_id"), F.col("n.type").alias("node_type"))
+    e = g.select("arch_id", F.explode("edges").alias("e")).select("arch_id", "e.*")
+    gated = graph.gate(n, e).join(graph.fingerprints(n, e).select("arch_id", "full_key"), "arch_id")
+    nth = F.row_number().over(Window.partitionBy("full_key", F.col("reason") == "accepted").orderBy("arch_id"))
+    again = gated.withColumn("nth", nth)
+    return again.select("arch_id", F.when((F.col("reason") == "accepted") & (F.col("nth") > 1), "duplicate architecture").otherwise(F.col("reason")).alias("reason"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def st3_windowed_counts(spark, d):
+    """Not in the reference: counts per day, as the watermarked stream makes them."""
+    from lattica.streaming.incremental import windowed_counts
+
+    w = windowed_counts(table(spark, d, "events"))
+    return w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
