@@ -889,3 +889,149 @@ def st3_windowed_counts(spark, d):
 
     w = windowed_counts(table(spark, d, "events"))
     return w.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n")
+
+
+# ---------------------------------------------------------------- gates, audits, responses
+
+
+@query(f"WITH {EG}, {_BAD} SELECT arch_id, count(*) <> count(DISTINCT node_id) AS duplicate_ids FROM bad_nodes GROUP BY 1")
+def fi5_duplicate_node_ids(spark, d):
+    return _bad_graph(spark, d)[0].groupBy("arch_id").agg((F.count("*") != F.count_distinct("node_id")).alias("duplicate_ids"))
+
+
+@query(f"WITH {SG}, {_ASSESS}, {_THREATS} SELECT arch_id, len(missing) > 0 AND EXISTS (SELECT 1 FROM found f WHERE f.arch_id = a.arch_id) AS complete FROM assessed a")
+def fi6_security_complete(spark, d):
+    """FI6: threats and recommendations are both there."""
+    a = security.assessment(security_graph(spark, d)[0])
+    t = security.threats(a).select("arch_id").distinct().withColumn("has", F.lit(True))
+    return a.join(t, "arch_id", "left").select("arch_id", ((F.size("recommendations") > 0) & F.coalesce("has", F.lit(False))).alias("complete"))
+
+
+@query(f"WITH {SG} SELECT arch_id, node_id FROM nodes WHERE regexp_matches(lower(node_id||' '||node_type), 'pay|shop|patient')")
+def fi7_keyword_any(spark, d):
+    n = security_graph(spark, d)[0]
+    return n.where(F.lower(F.concat_ws(" ", "node_id", "node_type")).rlike("pay|shop|patient")).select("arch_id", "node_id")
+
+
+@query(f"WITH {EG}, s AS (SELECT arch_id, count(*) AS n FROM nodes GROUP BY 1) SELECT x AS at_most, (SELECT count(*) FROM s WHERE n <= x) AS graphs FROM (VALUES (8), (10), (12), (30)) t(x)")
+def fi12_subset_predicates(spark, d):
+    """Predicates are parameters; all are counted in one pass."""
+    sizes = event_graph(spark, d)[0].groupBy("arch_id").agg(F.count("*").alias("n"))
+    return stats.cumulative(sizes, "n", [8, 10, 12, 30]).select("at_most", F.col("n").alias("graphs"))
+
+
+_CATALOG = dims.values([(c[0], c[1]) for c in dims.CONTROLS])
+
+
+@query(f"WITH {SG}, {_ASSESS}, cat(control, risk_level) AS (VALUES {_CATALOG}) SELECT arch_id, risk_level, string_agg(control, ',' ORDER BY control) AS controls FROM (SELECT arch_id, unnest(missing) AS control FROM assessed) JOIN cat USING (control) GROUP BY 1, 2")
+def sr2_jo7_missing_by_risk(spark, d):
+    a = security.assessment(security_graph(spark, d)[0]).select("arch_id", F.explode("missing").alias("name"))
+    by = a.join(F.broadcast(dims.controls(spark).select("name", "risk_level")), "name")
+    return by.groupBy("arch_id", "risk_level").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("controls"))
+
+
+@query("""SELECT (SELECT count(*) FROM labels) AS accepted, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS missing_rows,
+(SELECT count(*) FROM documents JOIN labels USING (doc_id) WHERE NOT contains(lower(text), 'the')) AS not_in_text, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS never_accepted""")
+def jo4_qg6_provenance(spark, d):
+    """QG6, JO4: accepted rows without a source, sources without the word, sources never accepted."""
+    docs, acc = _docs(spark, d).select("doc_id", "text"), table(spark, d, "labels").select("doc_id")
+    both = docs.join(acc.withColumn("a", F.lit(True)), "doc_id", "full")
+    known = F.col("a").isNotNull()
+    return both.agg(F.count_if(known).alias("accepted"), F.count_if(known & F.col("text").isNull()).alias("missing_rows"), F.count_if(known & ~F.lower("text").contains("the")).alias("not_in_text"), F.count_if(~known).alias("never_accepted"))
+
+
+@query("SELECT min(arch) AS first_id, max(arch) AS last_id, count(*) AS ids FROM (SELECT DISTINCT user_id::VARCHAR AS arch FROM events)")
+def sc6_existing_ids(spark, d):
+    ids = table(spark, d, "events").select(F.col("user_id").cast("string").alias("arch")).distinct()
+    return ids.agg(F.min("arch").alias("first_id"), F.max("arch").alias("last_id"), F.count("*").alias("ids"))
+
+
+@query(f"""WITH {EG}, {_BAD}, e AS (SELECT count(*) AS n, count(*) - count(DISTINCT (arch_id, source, target, label)) AS dup, sum((source = target)::INT) AS loops, sum((label = 'smoke signals')::INT) AS labels, sum((target = 'nowhere')::INT) AS dangling FROM bad_edges)
+SELECT 'duplicate_edges' AS gate, dup::BIGINT AS n, dup = 0 AS pass FROM e UNION ALL SELECT 'self_loops', loops::BIGINT, loops = 0 FROM e UNION ALL SELECT 'bad_labels', labels::BIGINT, labels = 0 FROM e UNION ALL SELECT 'dangling', dangling::BIGINT, dangling = 0 FROM e""")
+def qg2_artifact_gate(spark, d):
+    """QG2: here a duplicate has the same label too."""
+    n, e = _bad_graph(spark, d)
+    dup = e.groupBy("arch_id", "source", "target", "label").agg((F.count("*") - 1).alias("c")).agg(F.sum("c").alias("n"))
+    counts = e.agg(F.count_if(F.col("source") == F.col("target")).alias("loops"), F.count_if(~F.col("label").isin(dims.EDGE_LABELS)).alias("labels")).join(dup).join(graph.dangling(n, e).agg(F.count("*").alias("dangling")))
+    rows = F.array(*(F.struct(F.lit(g).alias("gate"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("n"), (F.coalesce(F.col(c), F.lit(0)) == 0).alias("pass")) for g, c in (("duplicate_edges", "n"), ("self_loops", "loops"), ("bad_labels", "labels"), ("dangling", "dangling"))))
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+_PART = _ASSESS.replace("FROM nodes GROUP BY 1", "FROM (SELECT * FROM nodes WHERE node_id NOT LIKE '%-db' AND node_id <> 'waf') GROUP BY 1").replace("agg AS", "agg2 AS").replace("FROM agg)", "FROM agg2)").replace("lack AS", "lack2 AS").replace("FROM lack)", "FROM lack2)").replace("assessed AS", "assessed2 AS")
+
+
+@query(f"WITH {SG}, {_ASSESS}, {_PART} SELECT a.arch_id, abs(a.score - b.score) AS delta, round(len(list_intersect(a.missing, b.missing)) / greatest(1, len(a.missing)), 6) AS recall FROM assessed a JOIN assessed2 b USING (arch_id)")
+def do6_score_delta(spark, d):
+    """DO6: assessments of a graph and of a poorer one: difference of scores, recall of missing controls."""
+    n, _ = security_graph(spark, d)
+    a = security.assessment(n).select("arch_id", "score", "missing")
+    b = security.assessment(n.where("node_id NOT LIKE '%-db' AND node_id <> 'waf'")).select("arch_id", F.col("score").alias("s"), F.col("missing").alias("m"))
+    return a.join(b, "arch_id").select("arch_id", F.abs(F.col("score") - F.col("s")).alias("delta"), F.round(F.size(F.array_intersect("missing", "m")) / F.greatest(F.lit(1), F.size("missing")), 6).alias("recall"))
+
+
+_KINDS = "CASE WHEN regexp_matches(node_id, 'monitor|log|metric|trace') THEN 'observability' WHEN regexp_matches(node_id, 'audit|compliance|policy|gdpr') THEN 'compliance' WHEN regexp_matches(node_id, 'waf|mfa|rbac|siem|auth|vault') THEN 'control' ELSE 'architectural' END"
+
+
+@query(f"WITH {SG}, lone AS (SELECT n.* FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.arch_id = n.arch_id AND e.source < 'p' AND (e.source = n.node_id OR e.target = n.node_id))) SELECT {_KINDS} AS kind, count(*) AS n FROM lone GROUP BY 1")
+def do7_orphan_kinds(spark, d):
+    """DO7: what kind of node is left alone."""
+    n, e = security_graph(spark, d)
+    lone = n.join(graph.endpoints(e.where("source < 'p'")).distinct(), ["arch_id", "node_id"], "left_anti")
+    kind = F.when(F.col("node_id").rlike("monitor|log|metric|trace"), "observability").when(F.col("node_id").rlike("audit|compliance|policy|gdpr"), "compliance").when(F.col("node_id").rlike("waf|mfa|rbac|siem|auth|vault"), "control").otherwise("architectural")
+    return lone.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT event_id, event_id % 1000 AS x, event_id % 700 AS y FROM events), c(container, x0, y0, x1, y1) AS (VALUES ('a', 0, 0, 300, 300), ('b', 200, 200, 600, 500), ('c', 500, 0, 900, 250))
+SELECT event_id, min(container) AS container FROM p JOIN c ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1""")
+def jo16_point_in_container(spark, d):
+    """JO16: a range join with a small table of rectangles; the first that holds the point."""
+    p = table(spark, d, "events").select("event_id", (F.col("event_id") % 1000).alias("x"), (F.col("event_id") % 700).alias("y"))
+    c = spark.createDataFrame([("a", 0, 0, 300, 300), ("b", 200, 200, 600, 500), ("c", 500, 0, 900, 250)], "container string, x0 long, y0 long, x1 long, y1 long")
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    return p.join(F.broadcast(c), inside).groupBy("event_id").agg(F.min("container").alias("container"))
+
+
+@query(f"WITH {EG} SELECT arch_id, string_agg(source||'>'||target||':'||label, ' ' ORDER BY label, source, target) AS edges FROM edges GROUP BY 1")
+def so5_so6_sorted_lists(spark, d):
+    """SO5, SO6: lists sorted by several keys."""
+    e = event_graph(spark, d)[1].groupBy("arch_id").agg(F.array_sort(F.collect_list(F.struct("label", "source", "target"))).alias("l"))
+    return e.select("arch_id", F.array_join(F.transform("l", lambda x: F.concat(x["source"], F.lit(">"), x["target"], F.lit(":"), x["label"])), " ").alias("edges"))
+
+
+@query("SELECT doc_id, CASE WHEN lang IN ('HTTP', 'DB Query', 'Async', 'Cache') THEN lang ELSE 'HTTP' END AS label, '{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' AS canon FROM documents")
+def pr26_pr31_exact_labels(spark, d):
+    """PR26, PR31: labels by equality; JSON with fields in a fixed order."""
+    from lattica.plans.response import exact_label
+
+    return _docs(spark, d).select("doc_id", exact_label(F.col("lang")).alias("label"), F.to_json(F.struct("lang", "source")).alias("canon"))
+
+
+@query("""SELECT doc_id, coalesce(quality, 0) AS score, CASE WHEN quality IS NULL THEN 'HIGH' WHEN quality = 1 THEN 'LOW' ELSE 'MEDIUM' END AS risk_level, lang AS domain FROM documents LEFT JOIN labels USING (doc_id)""")
+def pr3_reshaped_records(spark, d):
+    """PR3: nested records with defaults, read back by field."""
+    j = _docs(spark, d).select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    risk = F.when(F.col("quality").isNull(), "HIGH").when(F.col("quality") == 1, "LOW").otherwise("MEDIUM")
+    r = j.select("doc_id", F.struct(F.coalesce("quality", F.lit(0)).alias("score"), risk.alias("risk_level")).alias("security"), F.struct(F.col("lang").alias("domain")).alias("metadata"))
+    return r.select("doc_id", "security.score", "security.risk_level", "metadata.domain")
+
+
+@query("SELECT 'documents' AS name, count(*) AS n, count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources, max(n_chars) AS longest FROM documents")
+def sk6_sk7_report(spark, d):
+    """SK6, SK7: a one-row report."""
+    return _docs(spark, d).agg(F.lit("documents").alias("name"), F.count("*").alias("n"), F.count_distinct("lang").alias("langs"), F.count_distinct("source").alias("sources"), F.max("n_chars").alias("longest"))
+
+
+@query(f"WITH {EG}, s AS (SELECT n.arch_id, n.n, coalesce(m.m, 0) AS m FROM (SELECT arch_id, count(*) AS n FROM nodes GROUP BY 1) n LEFT JOIN (SELECT arch_id, count(*) AS m FROM edges GROUP BY 1) m USING (arch_id)) SELECT arch_id, NOT (m = 0 OR n > 10 OR m > 15) AS readable, CASE WHEN NOT (m = 0 OR n > 10 OR m > 15) THEN TRUE END AS valid FROM s")
+def sr12_sc13_responses(spark, d):
+    """SR12: every event graph as raw model output through the whole request path."""
+    from lattica.plans.response import respond
+
+    raw = _nested_events(spark, d).select("arch_id", F.to_json(F.struct("nodes", "edges")).alias("text"))
+    return respond(raw, "arch_id", "text").select("arch_id", F.col("error").isNull().alias("readable"), "valid")
+
+
+@query("SELECT count(*) AS n FROM documents")
+def sp8_random_split(spark, d):
+    """SP8: seeded random parts; they add up."""
+    a, b = _docs(spark, d).select("doc_id").randomSplit([0.8, 0.2], seed=7)
+    return a.unionByName(b).agg(F.count("*").alias("n"))

@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
@@ -28,7 +29,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def _plain(value):
-    if value is None or value != value:
+    if value is None or value is pandas.NA or (isinstance(value, float) and value != value) or value is pandas.NaT:
         return None
     if isinstance(value, bool):
         return value
