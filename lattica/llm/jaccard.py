@@ -4,8 +4,9 @@ A document's word shingles are dealt by hash to the chunks of a sketch, where XO
 shingle in one of two sets flips one place, so the sketches' Hamming distance is at most the
 symmetric difference.  Sets of a size band whose similarity reaches the threshold differ in at most
 d shingles; with more than d chunks at least one chunk is toggled alike in both (pigeonhole), which
-is an equi-join on (band, chunk, chunk value).  A dense 512-bit sketch of the same kind bounds the
-distance of candidates before whole texts are compared.
+is an equi-join on (band, chunk, chunk value).  A dense sketch of the same kind bounds the
+distance of candidates before whole texts are compared; it is two to four bits wide per shingle and
+folds by XOR onto a narrower one.
 
 Copies (equal sets) are one class.  A chunk value shared by many classes is never expanded into
 pairs: its classes are compared with the one that shares most chunks, links are closed to
@@ -36,7 +37,7 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 #: Bytes of text hashed at once.
 SEGMENT = 1 << 20
-#: Bits of the dense sketch.
+#: Least bits of the dense sketch.
 DENSE = 512
 #: Shuffled blobs of signature entries: how many key ranges, and entries held before they are sent.
 RANGES, HELD = 1024, 2_000_000
@@ -157,11 +158,17 @@ def signature(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def dense_sketch(s: np.ndarray) -> bytes:
-    """512 bits, toggled by every shingle."""
-    bits = np.bincount((s & _U(DENSE - 1)).astype(np.int64), minlength=DENSE).astype(np.uint8) & 1
+    """Bits toggled by every shingle: the least power of two of at least twice as many as shingles."""
+    width = max(DENSE, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
     return np.packbits(bits).tobytes()
 
 
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of `size` bytes that the same shingles would have toggled."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0)
+
+
 def _signed(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Per row: doc_id, n, set_a, set_b, keys (u64), sketch."""
 
@@ -261,8 +268,10 @@ def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
 
     def keep(it):
         for b in batches(it):
-            x, y = (np.frombuffer(b"".join(b["s_" + c].to_pylist()), np.uint8).reshape(-1, DENSE // 8) for c in "ab")
-            apart = _POP[x ^ y].sum(axis=1, dtype=np.int64)
+            apart = np.empty(b.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(b["s_a"].to_pylist(), b["s_b"].to_pylist())):
+                size = min(len(x), len(y))
+                apart[k] = _POP[folded(x, size) ^ folded(y, size)].sum(dtype=np.int64)
             total = b["n_a"].to_numpy() + b["n_b"].to_numpy()
             ok = apart <= total * (den - num) // (den + num)
             yield pa.record_batch({c: b[c].filter(pa.array(ok)) for c in "ab"})
@@ -335,12 +344,13 @@ def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, num: int,
     def pairs(group):
         ids, comps, sizes = (np.array([r[c] for r in group], np.int64) for c in (1, 2, 3))
         blocks = np.array([r[0] for r in group])
-        sketches = np.frombuffer(b"".join(r[4] for r in group), np.uint8).reshape(len(group), -1)
+        width = min(len(r[4]) for r in group)
+        sketches = np.stack([folded(r[4], width) for r in group])
         left = np.flatnonzero(blocks == blocks[0])
         right = left if blocks[0] == blocks[-1] else np.flatnonzero(blocks != blocks[0])
         for i in left:
             others = right[right > i]
-            others = others[(comps[others] != comps[i])]
+            others = others[(comps[others] != comps[i]) & (sizes[others] * den >= sizes[i] * num) & (sizes[i] * den >= sizes[others] * num)]
             bound = (sizes[others] + sizes[i]) * (den - num) // (den + num)
             fits = others[_POP[sketches[others] ^ sketches[i]].sum(axis=1, dtype=np.int64) <= bound]
             for j in fits:
