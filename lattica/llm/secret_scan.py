@@ -34,6 +34,8 @@ _K = len(ALPHABET) + 1
 #: Labelled training rows: so many documents at most (by hash of their id) and generated strings.
 SAMPLE_DOCS = 2000
 SAMPLE_RANDOM = 3000
+#: Pseudo-counts that back a transition by the second character's own frequency.
+BACKING = 4.0
 #: Log prior odds against a candidate being a secret, and the ratio a character must have on average.
 LOG_ODDS = math.log(1e6)
 MEAN_RATIO = 0.7
@@ -67,19 +69,23 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log ratio of every transition, at _K * from + to.  Add-one smoothing; the driver gets at most 2 * _K squared counts."""
+    """Log ratio of every transition, at _K * from + to.  The driver gets at most 2 * _K squared counts."""
     pair = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))
     pairs = samples.select("is_random", F.explode(pair).alias("pair"))
     place = lambda i: F.instr(F.lit(ALPHABET), F.substring("pair", i, 1))
     counts = pairs.groupBy("is_random", place(1).alias("a"), place(2).alias("b")).agg(F.count("*").alias("n")).collect()
-    model = {True: [1.0] * (_K * _K), False: [1.0] * (_K * _K)}
+    seen = {True: [0.0] * (_K * _K), False: [0.0] * (_K * _K)}
     for r in counts:
-        model[r["is_random"]][_K * r["a"] + r["b"]] += r["n"]
-    out = []
-    for a in range(_K):
-        rows = {k: m[_K * a : _K * a + _K] for k, m in model.items()}
-        out += [math.log(x / sum(rows[True])) - math.log(y / sum(rows[False])) for x, y in zip(rows[True], rows[False])]
-    return out
+        seen[r["is_random"]][_K * r["a"] + r["b"]] += r["n"]
+
+    def chances(n: list[float]) -> list[float]:
+        """Transitions, drawn towards how often a character follows at all."""
+        after = [0.5 + sum(n[b::_K]) for b in range(_K)]
+        total = sum(after)
+        rows = [sum(n[_K * a : _K * a + _K]) + BACKING for a in range(_K)]
+        return [(n[_K * a + b] + BACKING * after[b] / total) / rows[a] for a in range(_K) for b in range(_K)]
+
+    return [math.log(x / y) for x, y in zip(chances(seen[True]), chances(seen[False]))]
 
 
 def log_ratio(token: Column, model: list[float]) -> Column:
