@@ -1,8 +1,9 @@
 """Quality rules whose cutoffs carry a guarantee against rejecting good documents.
 
 Every rule scores a document between 0 and 1, higher is worse.  On labelled documents the exact
-(Clopper-Pearson) upper bound of a cutoff's false-rejection rate is taken per stratum; the strictest
-cutoff whose bound stays below ALPHA / rules is chosen.  Bounds hold together with probability
+(Clopper-Pearson) upper bound of a cutoff's false-rejection rate is taken per stratum.  Of the cutoffs
+whose bound stays below ALPHA / rules, the one is chosen that rejects most bad documents, where a
+share of good ones weighs COST times as much; a rule that gains nothing is off.  Bounds hold together with probability
 1 - DELTA: DELTA is split over all strata, rules and cutoffs (Bonferroni).  Where labels are too few
 for any guarantee, the rule is off.
 
@@ -25,7 +26,9 @@ _SYMBOLS = r"[#*$%&|<>]"
 _MARKS = r"[!?=_~^/{}\[\]@\\]"
 WINDOW = 8
 #: False rejections allowed per stratum, over all rules, and the chance that any bound fails.
-ALPHA, DELTA = 0.005, 0.05
+ALPHA, DELTA = 0.02, 0.05
+#: What rejecting a share of the good documents weighs against the same share of the bad ones.
+COST = 20.0
 BINS = 64
 #: Labelled ids are broadcast up to so many (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -128,21 +131,27 @@ def fit(features: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALP
     features: doc_id, the stratum and measured() columns; labels: doc_id, quality.
     """
     best = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    good = features.join(best.where("quality = 1").select("doc_id"), "doc_id", "left_semi").where(~base_failed())
+    known = features.join(best, "doc_id").where(~base_failed())
     bins = F.array(*(F.struct(F.lit(r).alias("rule"), F.ceil(c * BINS).cast("int").alias("bin")) for r, c in scores().items()))
-    counts = good.select(F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), F.explode(bins).alias("b")).groupBy("stratum", "b.rule", "b.bin").agg(F.count("*").alias("n")).collect()
-    table: dict[tuple[str, str], dict[int, int]] = {}
+    counts = known.select(F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), (F.col("quality") == 1).alias("good"), F.explode(bins).alias("b")).groupBy("stratum", "b.rule", "good", "b.bin").agg(F.count("*").alias("n")).collect()
+    table: dict[tuple[str, str], dict[bool, dict[int, int]]] = {}
     for r in counts:
-        table.setdefault((r["stratum"], r["rule"]), {})[r["bin"]] = r["n"]
+        table.setdefault((r["stratum"], r["rule"]), {True: {}, False: {}})[r["good"]][r["bin"]] = r["n"]
     out: dict[str, dict[str, float]] = {}
     tests = max(1, len({s for s, _ in table})) * len(RULES) * BINS
     for (s, rule), hist in table.items():
-        n, k = sum(hist.values()), 0
+        n, bad = sum(hist[True].values()), sum(hist[False].values())
+        k = caught = 0
+        best_gain = 0.0
         for cut in range(BINS - 1, -1, -1):  # reject bins above cut
-            k += hist.get(cut + 1, 0)
+            k += hist[True].get(cut + 1, 0)
+            caught += hist[False].get(cut + 1, 0)
             if binomial_upper(k, n, delta / tests) > alpha / len(RULES):
                 break
-            out.setdefault(s, {})[rule] = cut / BINS
+            gain = caught / max(1, bad) - COST * k / max(1, n)
+            if gain > best_gain:
+                best_gain = gain
+                out.setdefault(s, {})[rule] = cut / BINS
     return out
 
 
@@ -166,9 +175,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col:
 
     Only labelled documents are measured for the cutoffs; their ids are broadcast up to BROADCAST_IDS.
     """
-    good = staged(labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct(), "quality-good")
+    marked = staged(labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_id")).distinct(), "quality-marked")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{stratum}`").cast("string").alias("stratum"), F.col(f"`{text_col}`").alias("text"))
-    known = rows.drop("row").join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, F.col("doc_id") == F.col("_id"), "left_semi")
+    known = rows.drop("row").join(F.broadcast(marked) if marked.count() <= BROADCAST_IDS else marked, F.col("doc_id") == F.col("_id"), "left_semi")
     cutoffs = fit(staged(measured(known).drop("text"), "quality-known"), labels, "stratum")
     # a row number in the condition keeps it above the measuring steps, which would else be repeated inside it
     numbered = measured(rows).withColumn("_nth", F.monotonically_increasing_id())
