@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks kept per worker process; beyond, those met only once or twice go (a memory bound, not a result bound).
-CACHE_CHUNKS = 350_000
+CACHE_CHUNKS = 500_000
 #: Chunks given to the library at once.
 ENCODE_CHUNKS = 20_000
 
@@ -44,23 +44,14 @@ def _uncached(path: str):
     return models.BPE(vocab=model.pop("vocab"), merges=merges, cache_capacity=0, **{k: v for k, v in model.items() if v is not None})
 
 
-class _Index(dict):
-    """Numbers chunks as they are met; fresh: those not encoded yet."""
-
-    def __init__(self) -> None:
-        self.fresh: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        self.fresh.append(chunk)
-        return n
-
-
 class ChunkCache:
     """Ids of chunks, kept in flat arrays; subclasses encode chunks that are met for the first time.
 
     leading_space: chunks keep the space in front of them; bare_first: a text's first one has none.
     odd: texts that are cut by chunks() one by one, as spaces meet other white space in them.
+
+    Known chunks are an Arrow array of keys without the space, which Arrow looks up in bulk; a key
+    with one space in front stands for a first chunk, with two for a chunk of an odd text.
     """
 
     odd = _WEIRD_RE2
@@ -69,7 +60,7 @@ class ChunkCache:
     def __init__(self, leading_space: bool) -> None:
         self.leading_space = leading_space
         self.bare_first = self.bare_first and leading_space
-        self.index = _Index()
+        self.known = pa.array([], pa.string())
         self.flat = np.zeros(0, np.uint32)
         self.starts = self.lengths = self.uses = np.zeros(0, np.int64)
 
@@ -78,65 +69,80 @@ class ChunkCache:
         often = self.uses >= 3
         if often.sum() > CACHE_CHUNKS // 2:
             often[:] = False
-        index = _Index()
-        for chunk, keep in zip(self.index, often.tolist()):
-            if keep:
-                index[chunk] = len(index)
         lengths, starts = self.lengths[often], self.starts[often]
         ends = np.cumsum(lengths)
         self.flat = self.flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-        self.index, self.lengths, self.starts, self.uses = index, lengths, ends - lengths, np.zeros(len(index), np.int64)
-
-    def _learn(self) -> None:
-        fresh, self.index.fresh = self.index.fresh, []
-        for i in range(0, len(fresh), ENCODE_CHUNKS):
-            lengths, flat = self._encode_chunks(fresh[i : i + ENCODE_CHUNKS])
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.uses = np.concatenate([self.uses, np.zeros(len(lengths), np.int64)])
-            self.flat = np.concatenate([self.flat, flat])
+        self.known = self.known.filter(pa.array(often))
+        self.lengths, self.starts, self.uses = lengths, ends - lengths, np.zeros(len(lengths), np.int64)
+
+    def _chunk(self, key: str) -> str:
+        if key[:1] == " ":
+            return key[2:] if key[1:2] == " " else key[1:]
+        return " " + key if self.leading_space and key and key[0] != "\n" else key
+
+    def _learn(self, keys: pa.Array) -> None:
+        chunks = [self._chunk(k) for k in keys.to_pylist()]
+        starts, sizes, flats, at = [self.starts], [self.lengths], [self.flat], len(self.flat)
+        for i in range(0, len(chunks), ENCODE_CHUNKS):
+            lengths, flat = self._encode_chunks(chunks[i : i + ENCODE_CHUNKS])
+            starts.append(at + np.cumsum(lengths) - lengths)
+            sizes.append(lengths)
+            flats.append(flat)
+            at += len(flat)
+        self.starts, self.lengths, self.flat = map(np.concatenate, (starts, sizes, flats))
+        self.uses = np.concatenate([self.uses, np.zeros(len(chunks), np.int64)])
+        self.known = pa.concat_arrays([self.known, keys])
+
+    def _numbers(self, keys: pa.Array) -> np.ndarray:
+        """Where each key's ids are kept; new ones are encoded first."""
+        found = pc.index_in(keys, value_set=self.known)
+        if not found.null_count:
+            return found.to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = pc.is_null(found)
+        out = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lost = keys.filter(missing)
+        fresh, before = pc.unique(lost), len(self.known)
+        self._learn(fresh)
+        out[missing.to_numpy(zero_copy_only=False)] = before + pc.index_in(lost, value_set=fresh).to_numpy(zero_copy_only=False)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts (strings, no nulls) in a row, and how many belong to each text."""
-        if len(self.index) > CACHE_CHUNKS:
+        if len(self.known) > CACHE_CHUNKS:
             self._forget()
-        number = self.index.__getitem__
         odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.leading_space else np.zeros(len(texts), bool)
         # a line feed between other characters is a split too; without leading spaces it is only white space
         lines = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n" if self.leading_space else " ")
         pieces = pc.split_pattern(lines, " ")
-        bounds = pieces.offsets.to_numpy() - pieces.offsets[0].as_py() if len(pieces) else np.zeros(1, np.int64)
-        coded = pieces.flatten().dictionary_encode()
-        keys = coded.dictionary.to_pylist()
-        if self.leading_space:
-            keys = [c if c[:1] == "\n" or not c else " " + c for c in keys]
-        distinct = np.fromiter(map(number, keys), np.int64, len(keys))
-        even = distinct[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        if self.bare_first and len(even):  # a text's first chunk has no space
-            firsts = bounds[:-1]
-            even[firsts] = [number(c) for c in coded.take(pa.array(firsts)).to_pylist()]
+        bounds = pieces.offsets.to_numpy().astype(np.int64) - pieces.offsets[0].as_py() if len(pieces) else np.zeros(1, np.int64)
+        keys = pieces.flatten()
+        if self.bare_first and len(keys):
+            first = np.zeros(len(keys), bool)
+            first[bounds[:-1]] = True
+            even = np.empty(len(keys), np.int64)
+            heads = pc.binary_join_element_wise(pa.scalar(" "), keys.filter(pa.array(first)), "")
+            even[first] = self._numbers(heads)
+            even[~first] = self._numbers(keys.filter(pa.array(~first)))
+        else:
+            even = self._numbers(keys)
+        counts = np.zeros(len(texts), np.int64)
+        counts[~odd] = np.diff(bounds)
         if odd.any():
-            counts, places, k = np.zeros(len(texts), np.int64), [], 0
-            counts[~odd] = np.diff(bounds)
-            for i in range(len(texts)):
-                if odd[i]:
-                    chunks = self.chunks(texts[i].as_py())
-                    counts[i] = len(chunks)
-                    places.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
-                else:
-                    places.append(even[bounds[k] : bounds[k + 1]])
-                    k += 1
-            even = np.concatenate(places)
+            cut = [self.chunks(texts[int(i)].as_py()) for i in np.flatnonzero(odd)]
+            counts[odd] = [len(c) for c in cut]
+            at = np.empty(int(counts.sum()), np.int64)
+            is_odd = np.repeat(odd, counts)
+            at[is_odd] = self._numbers(pa.array(["  " + c for chunks in cut for c in chunks], pa.string()))
+            at[~is_odd] = even
         else:
-            counts = np.diff(bounds)
-        self._learn()
-        at = even
+            at = even
         self.uses += np.bincount(at, minlength=len(self.uses))
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(bounds)
+        total = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return ids, np.diff(total)
+
 
 class ChunkTokenizer(ChunkCache):
     """ids of whole texts.  leading_space: chunks keep their space (byte-level), else spaces are dropped."""
