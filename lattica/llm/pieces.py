@@ -135,6 +135,10 @@ class PieceCodec(ChunkCache):
         tails = [b[8:16] for b, _ in self.long]
         self.long_low, self.long_high = (np.array([int.from_bytes(b.ljust(8, f), "big") for b in tails], np.uint64) for f in (b"\0", b"\xff"))
         self.rest = {i: b[16:] for b, i in self.long if len(b) > 16}
+        shown = [bytes([m.bytes[i]]) if i in m.bytes else m.text.get(i, "").replace(_SPACE, " ").encode() for i in range(n)]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self.shown_size = np.array([len(b) for b in shown], np.int64)
+        self.shown_start = np.cumsum(self.shown_size) - self.shown_size
 
     def chunks(self, text: str) -> list[str]:
         """Runs of spaces stay with the word behind them."""
@@ -230,8 +234,9 @@ class PieceCodec(ChunkCache):
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        out = b"".join(bytes([self.model.bytes[i]]) if i in self.model.bytes else self.model.text.get(i, "").replace(_SPACE, " ").encode() for i in ids.tolist())
-        return out.decode("utf-8", "replace").removeprefix(" ")
+        size = self.shown_size[ids]
+        at = np.repeat(self.shown_start[ids] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return self.shown[at].tobytes().decode("utf-8", "replace").removeprefix(" ")
 
 
 def codec(path: str) -> PieceCodec:
