@@ -536,14 +536,14 @@ def so4_top_anchors(spark, d):
 @query("SELECT config, f1, rank() OVER (ORDER BY f1 DESC) AS place FROM (SELECT l_returnflag || l_linestatus AS config, round(sum(l_quantity) / count(*), 6) AS f1 FROM lineitem GROUP BY 1)")
 def wi9_config_ranking(spark, d):
     per = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("config")).agg(F.round(F.sum("l_quantity") / F.count("*"), 6).alias("f1"))
-    return per.select("config", "f1", F.rank().over(Window.orderBy(F.desc("f1"))).alias("place"))
+    return per.select("config", "f1", F.rank().over(Window.orderBy(F.desc("f1"))).cast("long").alias("place"))
 
 
 @query(f"WITH {EG} SELECT arch_id, node_id, 100 + 190 * (row_number() OVER (PARTITION BY arch_id, node_type ORDER BY node_id) - 1) AS x, count(*) OVER (PARTITION BY arch_id, node_type) AS in_layer FROM nodes")
 def wi10_layered_places(spark, d):
     n = event_graph(spark, d)[0]
     w = Window.partitionBy("arch_id", "node_type")
-    return n.select("arch_id", "node_id", (100 + 190 * (F.row_number().over(w.orderBy("node_id")) - 1)).alias("x"), F.count("*").over(w).alias("in_layer"))
+    return n.select("arch_id", "node_id", (100 + 190 * (F.row_number().over(w.orderBy("node_id")) - 1)).cast("long").alias("x"), F.count("*").over(w).alias("in_layer"))
 
 
 @query()

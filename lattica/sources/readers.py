@@ -58,7 +58,7 @@ def first_seen_codes(df: DataFrame, label: str, order: str) -> DataFrame:
     from pyspark.sql import Window
 
     first = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(order).alias("first"))
-    return first.select(label, (F.row_number().over(Window.orderBy("first")) - 1).alias("code"))
+    return first.select(label, (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("code"))
 
 
 def describe(df: DataFrame) -> DataFrame:
