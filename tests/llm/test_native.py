@@ -93,6 +93,13 @@ def test_private_base(spark):
     assert all(r["b"] == want[r["doc_id"]] for r in got.collect())
 
 
+@pytest.mark.parametrize("n", [255, 256, 257, 1000, 20_000])
+def test_many_matches(spark, n):
+    text = "".join(f"é{i % 13 * 'x'} a{i}@b.de " for i in range(n))
+    row = spark.createDataFrame([(text,)], "text string").select(S.find_spans(F.col("text"), r"a[0-9]++@b\.de").alias("s")).first()
+    assert [(r["start"], r["end"], r["match"]) for r in row["s"]] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"a[0-9]+@b\.de", text)]
+
+
 def test_weak_supervision():
     counts = {("national_id", "2211", 1): 60, ("national_id", "2111", 1): 40, ("national_id", "0101", 1): 300, ("national_id", "2101", 1): 100}
     p = pii.estimate(counts)
