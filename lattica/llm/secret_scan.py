@@ -56,7 +56,10 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     docs: doc_id, text.  At most SAMPLE_DOCS documents give tokens.
     """
     spark = docs.sparkSession
-    some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    # a few more by hash than asked for, so that only those meet in the sorted limit
+    share = min(1.0, 1.3 * SAMPLE_DOCS / max(1, docs.count()))
+    picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
+    some = docs.where(picked).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     b = base_spans(F.col("text"))
     found = some.select(F.explode(F.concat(*(F.transform(x, lambda s: F.regexp_extract(s["match"], r"([A-Za-z0-9+/_=-]+)$", 1)) for x in b.values()))).alias("token"), F.lit(True).alias("is_random"))
     cleaned = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", _ASSIGN, " "), _ACCESS, " "), _HEX, " ")
