@@ -30,7 +30,7 @@ from .common import batches, read_table, shared_path, staged, tasks_for, tune
 #: Equal payloads of at least this many bytes are written once.
 REVISIT_BYTES = 1000
 #: Uncompressed bytes of an archive, about.
-ARCHIVE_BYTES = 16 << 20
+ARCHIVE_BYTES = 64 << 20
 #: Captures in a merge range, about; a task holds one range's slices of all runs.
 RANGE_ROWS = 200_000
 #: The revisits are broadcast up to so many rows (16 bytes each); beyond, they are joined by shuffle.
