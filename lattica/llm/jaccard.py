@@ -30,21 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, mix64, read_table, staged, text_rows, tune
+from .common import batches, mix64, read_table, released, staged, text_rows, tune
 from .components import components
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 #: Bytes of text hashed at once.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Least bits of the dense sketch.
 DENSE = 512
 #: Shuffled blobs of signature entries: how many key ranges, and entries held before they are sent.
-RANGES, HELD = 1024, 2_000_000
+RANGES, HELD = 1024, 400_000
 #: Ids and names of sets are broadcast up to so many (at most 32 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Classes of a block in the comparison of what stays apart, and members of one leader compared in a task.
-BLOCK, FOLLOWERS = 200, 300
+BLOCK, FOLLOWERS = 512, 300
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -169,8 +169,8 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0)
 
 
-def _signed(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, n, set_a, set_b, keys (u64), sketch."""
+def _signed(rows: DataFrame, k: int) -> DataFrame:
+    """Per row: doc_id, n, set_a, set_b, sketch."""
 
     def sign(it):
         for b in batches(it):
@@ -182,12 +182,11 @@ def _signed(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "set_a": pa.array([p[0] for p in prints], pa.int64()),
                     "set_b": pa.array([p[1] for p in prints], pa.int64()),
-                    "keys": pa.array([signature(s, num, den).tobytes() for s in sets], pa.binary()),
                     "sketch": pa.array([dense_sketch(s) if len(s) else b"" for s in sets], pa.binary()),
                 }
             )
 
-    return rows.mapInArrow(sign, "doc_id long, n long, set_a long, set_b long, keys binary, sketch binary")
+    return rows.mapInArrow(sign, "doc_id long, n long, set_a long, set_b long, sketch binary")
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -200,10 +199,11 @@ def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return keys[new], ids[new], keys[more], first[more], ids[more]
 
 
-def _shared_keys(classes: DataFrame) -> DataFrame:
-    """(key, a, b): classes that share a key, linked in stars.  classes: id, keys.
+def _shared_keys(classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(key, a, b): classes that share a key, linked in stars.  classes: id, set_a, set_b, text.
 
-    Tasks reduce their entries to one per key before the shuffle, so a key that a third of the
+    Keys are made here, from the texts once more, as they would take more room than anything else if
+    they were kept.  Tasks reduce their entries to one per key before the shuffle, so a key that a third of the
     classes share costs one entry per task; entries travel as packed arrays.
     """
 
@@ -221,8 +221,8 @@ def _shared_keys(classes: DataFrame) -> DataFrame:
         held, size = [], 0
 
         def flush():
-            keys = np.concatenate([np.frombuffer(x, np.uint64) for x, _ in held])
-            ids = np.repeat(np.array([i for _, i in held], np.int64), [len(x) // 8 for x, _ in held])
+            keys = np.concatenate([x for x, _ in held])
+            ids = np.repeat(np.array([i for _, i in held], np.int64), [len(x) for x, _ in held])
             a, b, *star = _stars(keys, ids)
             if len(a):
                 yield from emit(0, a, b)
@@ -230,9 +230,11 @@ def _shared_keys(classes: DataFrame) -> DataFrame:
                 yield from emit(1, *star)
 
         for b in batches(it):
-            for i, blob in zip(b["id"].to_pylist(), b["keys"].to_pylist()):
-                held.append((blob, i))
-                size += len(blob) // 8
+            for i, x, y, s in zip(*(b[c].to_pylist() for c in ("id", "set_a", "set_b")), shingle_sets(b["text"], k)):
+                if fingerprint(s) != (x, y):
+                    continue  # another text under a repeated id
+                held.append((signature(s, num, den), i))
+                size += len(held[-1][0])
                 if size >= HELD:
                     yield from flush()
                     held, size = [], 0
@@ -253,7 +255,7 @@ def _shared_keys(classes: DataFrame) -> DataFrame:
             for i in range(0, rows.shape[1], 10_000):
                 yield pa.record_batch({c: pa.array(rows[j, i : i + 10_000]) for j, c in enumerate(("key", "a", "b"))})
 
-    packed = classes.select("id", "keys").mapInArrow(combine, "bucket int, kind int, blob binary")
+    packed = classes.select("id", "set_a", "set_b", "text").mapInArrow(combine, "bucket int, kind int, blob binary")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return packed.repartition(n, "bucket").mapInArrow(reduce, "key long, a long, b long")
 
@@ -388,7 +390,7 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     spark = docs.sparkSession
     tune(spark)
     rows = text_rows(docs, id_col, text_col)
-    signed = staged(_signed(rows, k, num, den), "jaccard-signed", codec="lz4")
+    signed = staged(_signed(rows, k), "jaccard-signed", codec="lz4")
 
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
     by_set = full.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("id"))
@@ -397,17 +399,20 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     chosen = full.withColumnRenamed("doc_id", "id").join(F.broadcast(by_set) if few else by_set, ["set_a", "set_b", "n", "id"], "left_semi")
     # an id that names several sets must not stand for any of them in links
     twice = staged(by_set.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "jaccard-twice")
+    names = by_set
     if not twice.isEmpty():
-        chosen = chosen.join(twice, "id", "left_anti")
+        chosen, names = (x.join(twice, "id", "left_anti") for x in (chosen, names))
     small = staged(chosen.select("id", "n", "set_a", "set_b", "sketch").dropDuplicates(["id"]), "jaccard-small")
-    stars = _shared_keys(chosen.select("id", "keys"))
-    stars = staged(stars, "jaccard-stars", codec="lz4")
+    texts = rows.join(F.broadcast(names) if few else names, rows["doc_id"] == names["id"]).select("id", "set_a", "set_b", "text")
+    stars = staged(_shared_keys(texts, k, num, den), "jaccard-stars", codec="lz4")
     members = staged(stars.select("key", F.col("a").alias("id")).unionByName(stars.select("key", F.col("b").alias("id"))).distinct(), "jaccard-members", codec="lz4")
 
+    released(spark)
     pairs = staged(_near(_led(members), small, num, den).distinct(), "jaccard-pairs")
     links = staged(_verified(pairs, rows, small, k, num, den), "jaccard-links")
     edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = staged(components(edges), "jaccard-labels")
+    released(spark)
 
     rest = staged(_apart(members, labels, small, num, den).join(pairs, ["a", "b"], "left_anti"), "jaccard-rest")
     if not rest.isEmpty():
