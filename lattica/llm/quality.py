@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs carry a guarantee against rejecting good documents.
 
-Every rule scores a document between 0 and 1, higher is worse.  On labelled documents the exact
-(Clopper-Pearson) upper bound of a cutoff's false-rejection rate is taken per stratum.  Of the cutoffs
-whose bound stays below ALPHA / rules, the one is chosen that rejects most bad documents, where a
-share of good ones weighs COST times as much; a rule that gains nothing is off.  Bounds hold together with probability
-1 - DELTA: DELTA is split over all strata, rules and cutoffs (Bonferroni).  Where labels are too few
-for any guarantee, the rule is off.
-
-DataFrame functions only; the driver gets counts per stratum, rule and score bin.  A null text has
+Every rule scores a document between 0 and 1, higher is worse.  Per stratum the rules' cutoffs are lowered
+together along one path from loose to strict, and the exact (Clopper-Pearson) upper bound of the share of
+good documents that any rule rejects is taken at each step until it exceeds ALPHA.  The path is laid
+out without the good documents that the bound counts, so this is a fixed sequence of tests: all bounds
+up to the first failure hold together with probability 1 - DELTA, which is split over the strata only.
+Of those steps the one is chosen that rejects most bad documents, where a share of good ones weighs
+COST times as much.  A rule that gains nothing is off; where fewer than least_labels() good documents are
+labelled no step passes and all rules are off.
+
+DataFrame functions only; the driver gets counts per stratum, rule and score bin, and per stratum and step.  A null text has
 no words and fails the base rule; a null stratum is a stratum of its own; repeated rows are judged
 alike; labels of unknown documents and null labels are ignored, of several labels the best counts.
 Empty tables give no rows; no labels switch the learnt rules off.  Extra columns are ignored.
@@ -16,6 +18,7 @@ Empty tables give no rows; no labels switch the learnt rules off.  Extra columns
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +28,13 @@ from .common import read_table, staged
 _SYMBOLS = r"[#*$%&|<>]"
 _MARKS = r"[!?=_~^/{}\[\]@\\]"
 WINDOW = 8
-#: False rejections allowed per stratum, over all rules, and the chance that any bound fails.
+#: False rejections allowed per stratum, by any rule, and the chance that any stratum's bound fails.
 ALPHA, DELTA = 0.02, 0.05
 #: What rejecting a share of the good documents weighs against the same share of the bad ones.
 COST = 20.0
 BINS = 64
+#: One in so many good documents only lays out the path where the other strata have too few for that.
+HOLD = 5
 #: Labelled ids are broadcast up to so many (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 RULES = ("symbols", "capitals", "marks", "dup_lines", "repeats", "odd_lengths")
@@ -125,6 +130,27 @@ def binomial_upper(k: int, n: int, delta: float) -> float:
     return high
 
 
+def least_labels(strata: int, alpha: float = ALPHA, delta: float = DELTA) -> int:
+    """So many good documents must be labelled in a stratum before a rule can be on there."""
+    return math.ceil(math.log(strata / delta) / -math.log1p(-alpha))
+
+
+def path(good: list[dict[int, int]], bad: list[dict[int, int]]) -> list[tuple[int, int]]:
+    """(rule, cut) in the order in which cutoffs are lowered, from counts by score bin of each rule.
+
+    Only cuts at which another bad document falls.  Those above all of the good documents come first, the
+    farthest above first; then by the share of good ones rejected.
+    """
+    steps = []
+    for r, (g, b) in enumerate(zip(good, bad)):
+        top, all_bad = max(g, default=0), max(1, sum(b.values()))
+        for cut in (x - 1 for x in b if x > 0):
+            rejected = sum(n for x, n in g.items() if x > cut) / max(1, sum(g.values()))
+            caught = sum(n for x, n in b.items() if x > cut) / all_bad
+            steps.append((rejected, -(cut + 1) / (top + 1), -caught, -cut, r))
+    return [(r, -cut) for *_, cut, r in sorted(steps)]
+
+
 def fit(features: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
     """stratum -> rule -> cutoff: a document whose score exceeds it is rejected.
 
@@ -132,26 +158,53 @@ def fit(features: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALP
     """
     best = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = features.join(best, "doc_id").where(~base_failed())
-    bins = F.array(*(F.struct(F.lit(r).alias("rule"), F.ceil(c * BINS).cast("int").alias("bin")) for r, c in scores().items()))
-    counts = known.select(F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), (F.col("quality") == 1).alias("good"), F.explode(bins).alias("b")).groupBy("stratum", "b.rule", "good", "b.bin").agg(F.count("*").alias("n")).collect()
-    table: dict[tuple[str, str], dict[bool, dict[int, int]]] = {}
-    for r in counts:
-        table.setdefault((r["stratum"], r["rule"]), {True: {}, False: {}})[r["good"]][r["bin"]] = r["n"]
+    bins = F.array(*(F.ceil(c * BINS).cast("int") for c in scores().values()))
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD)) == 0
+    known = staged(known.select(F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), (F.col("quality") == 1).alias("good"), held.alias("held"), bins.alias("bins")), "quality-bins")
+
+    counts = known.select("stratum", "good", "held", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "good", "held", "rule", "bin").agg(F.count("*").alias("n")).collect()
+    strata = sorted({r["stratum"] for r in counts})
+
+    def by_bin(wanted) -> list[dict[int, int]]:
+        out: list[dict[int, int]] = [{} for _ in RULES]
+        for r in counts:
+            if wanted(r):
+                out[r["rule"]][r["bin"]] = out[r["rule"]].get(r["bin"], 0) + r["n"]
+        return out
+
+    paths: dict[str, tuple[list[tuple[int, int]], bool]] = {}
+    for s in strata:
+        elsewhere, own, rest = (by_bin(w) for w in (lambda r: r["good"] and r["stratum"] != s, lambda r: r["good"] and r["stratum"] == s and r["held"], lambda r: r["good"] and r["stratum"] == s and not r["held"]))
+        size = lambda x: sum(x[0].values())
+        apart = size(elsewhere) < size(own) and size(rest) >= least_labels(len(strata), alpha, delta)
+        paths[s] = path(own if apart else elsewhere, by_bin(lambda r: not r["good"] and r["stratum"] == s)), apart
+
+    # the step of its stratum's path at which a document is first rejected
+    at = F.lit(None).cast("int")
+    for s, (steps, _) in paths.items():
+        first = [[min((i for i, (rule, cut) in enumerate(steps) if rule == r and cut < x), default=len(steps)) for x in range(BINS + 1)] for r in range(len(RULES))]
+        at = F.when(F.col("stratum") == s, F.least(*(F.element_at(F.array(*map(F.lit, f)), F.col("bins")[r] + 1) for r, f in enumerate(first)))).otherwise(at)
+    table: dict[str, Counter] = {s: Counter() for s in strata}
+    for r in known.groupBy("stratum", "good", "held", at.alias("at")).agg(F.count("*").alias("n")).collect():
+        if not (r["good"] and r["held"] and paths[r["stratum"]][1]):
+            table[r["stratum"]][r["good"], r["at"]] += r["n"]
+
     out: dict[str, dict[str, float]] = {}
-    tests = max(1, len({s for s, _ in table})) * len(RULES) * BINS
-    for (s, rule), hist in table.items():
-        n, bad = sum(hist[True].values()), sum(hist[False].values())
+    for s, (steps, _) in paths.items():
+        n, bad = (sum(x for (good, _), x in table[s].items() if good is kind) for kind in (True, False))
         k = caught = 0
         best_gain = 0.0
-        for cut in range(BINS - 1, -1, -1):  # reject bins above cut
-            k += hist[True].get(cut + 1, 0)
-            caught += hist[False].get(cut + 1, 0)
-            if binomial_upper(k, n, delta / tests) > alpha / len(RULES):
+        cutoffs: dict[str, float] = {}
+        for i, (rule, cut) in enumerate(steps):
+            k += table[s][True, i]
+            caught += table[s][False, i]
+            if binomial_upper(k, n, delta / len(strata)) > alpha:
                 break
+            cutoffs[RULES[rule]] = min(cut / BINS, cutoffs.get(RULES[rule], 1.0))
             gain = caught / max(1, bad) - COST * k / max(1, n)
             if gain > best_gain:
                 best_gain = gain
-                out.setdefault(s, {})[rule] = cut / BINS
+                out[s] = dict(cutoffs)
     return out
 
 

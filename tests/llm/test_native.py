@@ -187,6 +187,33 @@ def test_cutoffs_limit_false_rejection(spark):
     assert off.count() == 12000 and off.columns == docs.columns
 
 
+@pytest.mark.parametrize(("strata", "n"), [(1, 149), (4, 217)])
+def test_few_labels_suffice(strata, n):
+    assert quality.least_labels(strata) == n
+    assert quality.binomial_upper(0, n, quality.DELTA / strata) <= quality.ALPHA < quality.binomial_upper(0, n - 1, quality.DELTA / strata)
+
+
+def test_rules_of_small_strata(spark):
+    """Bad documents of two kinds go where 300 good ones are labelled; with 100 the rules stay off."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    rows, marks = [], []
+    for lang, n in (("en", 300), ("fr", 300), ("de", 300), ("es", 100)):
+        for i in range(n + 40):
+            good = i < n
+            end = "" if good else rnd.choice("%$#&") if i % 2 else "QX"
+            rows.append((len(rows), lang, " ".join(word() + end for _ in range(20))))
+            marks.append((len(marks), int(good)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    kept = {r["doc_id"] for r in quality.keep_good(docs, labels).collect()}
+    assert kept == {i for (i, lang, _), (_, g) in zip(rows, marks) if g or lang == "es"}
+
+
+def test_path_order():
+    good, bad = [{0: 90, 3: 10}, {1: 100}], [{0: 5, 3: 1, 9: 4}, {0: 2, 50: 8}]
+    assert quality.path(good, bad) == [(1, 49), (0, 8), (0, 2)]
+
+
 @pytest.mark.parametrize("name", sorted(llm.QUERIES))
 def test_query(spark, duck, name):
     got = llm.QUERIES[name](spark, SMALL).toPandas()
