@@ -3,8 +3,9 @@
 Labelers (format checks as regular expressions, gazetteers, words of the context) vote on candidate
 spans.  Expectation-maximisation over the counts of vote patterns estimates every labeler's
 reliability and each pattern's posterior; a naive-Bayes span classifier is then trained on the
-posteriors with the span's shape as a further feature.  Candidates it accepts are added; the spans
-of the fixed patterns always stay.
+posteriors with the span's shape as a further feature.  Candidates it accepts are added, and so is
+every clear one (strict format, a word that names it, no vote against), whatever else the table
+holds; the spans of the fixed patterns always stay.
 
 DataFrame functions only; the driver gets one count per (kind, votes, shape), a bounded table.
 Null and empty texts have no spans; repeated rows are scanned alike; extra columns are ignored;
@@ -63,6 +64,8 @@ LABELERS = 4
 SURE = 0.95
 #: Before any vote: the share of candidates that is personal data, and how often a labeler that votes is right.
 PRIOR, RELIABLE, ROUNDS = 0.2, 0.8, 30
+#: Least probability of a clear span: strict format and gazetteer for, no labeler against.
+CLEAR = 0.98
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -102,11 +105,17 @@ def candidates(text: Column, base: Column) -> Column:
     return F.concat(*parts)
 
 
+def is_clear(votes: str) -> bool:
+    return votes.startswith("22") and "0" not in votes
+
+
 def estimate(counts: dict[tuple[str, str, int], int]) -> dict[tuple[str, str, int], float]:
     """Probability of being personal data by (kind, votes, shape), from their counts alone.
 
     EM per kind over two classes; a labeler's reliabilities are its chances of each vote in each
-    class, smoothed towards RELIABLE.  With few candidates the prior beliefs decide.
+    class, smoothed towards RELIABLE.  With few candidates the prior beliefs decide.  No vote
+    for (against) makes a span less (more) likely, so the classes can't change places where one of
+    them has few votes.  Clear spans have at least CLEAR.
     """
     out = {}
     for kind in {k for k, _, _ in counts}:
@@ -116,8 +125,12 @@ def estimate(counts: dict[tuple[str, str, int], int]) -> dict[tuple[str, str, in
         belief = [{True: {"2": RELIABLE * 8, "1": 8.0, "0": (1 - RELIABLE) * 8}, False: {"2": (1 - RELIABLE) * 8, "1": 8.0, "0": RELIABLE * 8}} for _ in range(LABELERS)]
         chance = [{c: {v: x / sum(b[c].values()) for v, x in b[c].items()} for c in b} for b in belief]
 
+        def weight(i: int, vote: str) -> float:
+            w = math.log(chance[i][True][vote] / chance[i][False][vote])
+            return max(0.0, w) if vote == "2" else min(0.0, w) if vote == "0" else w
+
         def posterior(votes: str) -> float:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(chance[i][True][v] / chance[i][False][v]) for i, v in enumerate(votes))
+            odds = math.log(prior / (1 - prior)) + sum(weight(i, v) for i, v in enumerate(votes))
             return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
         for _ in range(ROUNDS):
@@ -140,7 +153,8 @@ def estimate(counts: dict[tuple[str, str, int], int]) -> dict[tuple[str, str, in
         size = {c: sum(shape[c].values()) + 5.0 * (6 - len(shape[c])) for c in shape}
         for v, s, _ in rows:
             odds = math.log(max(p[v], 1e-12) / max(1 - p[v], 1e-12)) + math.log(shape[True][s] / size[True]) - math.log(shape[False][s] / size[False])
-            out[kind, v, s] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+            found = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+            out[kind, v, s] = max(found, CLEAR) if is_clear(v) else found
     return out
 
 

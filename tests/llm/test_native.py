@@ -114,6 +114,21 @@ def test_added_personal_data(spark):
     assert all(found[i] == ["national_id"] for i in range(60)) and not any(found[100 + i] for i in range(60))
 
 
+@pytest.mark.parametrize("others", [{}, {"2111": 50_000}, {"0111": 50_000}, {"0211": 100_000}, {"2201": 1000}, {"0211": 50, "2201": 50}])
+def test_clear_spans_whatever_else_there_is(others):
+    for n in (1, 50, 5000):
+        p = pii.estimate({("national_id", v, 1): m for v, m in {"2211": n, **others}.items()})
+        assert p["national_id", "2211", 1] >= pii.SURE
+        assert all(x < pii.SURE for (_, v, _), x in p.items() if "0" in v)
+
+
+def test_lone_span(spark):
+    row = (1, "Her SSN is 219-45-1034, she said")
+    for more in ([], [(i, f"see {200 + i % 400}-45-{1000 + i}") for i in range(2, 500)]):
+        found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.scan(spark.createDataFrame([row, *more], "doc_id long, text string")).collect()}
+        assert found[1] == ["national_id"] and not any(found[i] for i, _ in more)
+
+
 def licenses(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
