@@ -14,8 +14,9 @@ components, and only classes of different components that still share a value ar
 blocks and by their sketches first.  So no link between components is lost and none is counted
 twice.  Shingles are compared by 64-bit hashes.
 
-Null or empty text has no shingles and no links.  If the least id of one set is also that of another
-(a repeated id with different texts), both sets are linked to equal ones only.  A null id is never a
+Null or empty text has no shingles and no links.  An id that names several sets (a repeated id with
+different texts) stands for none of them: such a class goes by another of its ids, or else by a hash of
+its set, and a component by an id that names only one set, if it has any.  A null id is never a
 component's name unless all are null.  Repeated
 rows stay.  Extra columns are ignored.
 """
@@ -41,7 +42,7 @@ SEGMENT = 1 << 18
 DENSE = 512
 #: Shuffled blobs of signature entries: how many key ranges, and entries held before they are sent.
 RANGES, HELD = 1024, 400_000
-#: Ids and names of sets are broadcast up to so many (at most 32 bytes each); beyond, they are joined by shuffle.
+#: Ids and names of sets are broadcast up to so many (at most 40 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Classes of a block in the comparison of what stays apart, and members of one leader compared in a task.
 BLOCK, FOLLOWERS = 512, 300
@@ -170,7 +171,7 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
 
 
 def _signed(rows: DataFrame, k: int) -> DataFrame:
-    """Per row: doc_id, n, set_a, set_b, sketch."""
+    """Per row: doc_id, text_hash, n, set_a, set_b, sketch."""
 
     def sign(it):
         for b in batches(it):
@@ -179,6 +180,7 @@ def _signed(rows: DataFrame, k: int) -> DataFrame:
             yield pa.record_batch(
                 {
                     "doc_id": b["doc_id"],
+                    "text_hash": b["text_hash"],
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "set_a": pa.array([p[0] for p in prints], pa.int64()),
                     "set_b": pa.array([p[1] for p in prints], pa.int64()),
@@ -186,7 +188,7 @@ def _signed(rows: DataFrame, k: int) -> DataFrame:
                 }
             )
 
-    return rows.mapInArrow(sign, "doc_id long, n long, set_a long, set_b long, sketch binary")
+    return rows.mapInArrow(sign, "doc_id long, text_hash long, n long, set_a long, set_b long, sketch binary")
 
 
 def _stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -290,12 +292,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num
     counts = pairs.groupBy("a").agg(F.count("*").alias("followers")).select(F.col("a"), F.ceil(F.col("followers") / FOLLOWERS).cast("int").alias("parts"))
     leaders = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("id"))
     followers = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("id"))
-    wanted = staged(leaders.unionByName(followers).join(classes.select("id", "set_a", "set_b"), "id"), "jaccard-wanted")
-    ids = wanted.select("id").distinct()
+    wanted = staged(leaders.unionByName(followers).join(classes.select("id", "doc_id", "text_hash", "set_a", "set_b"), "id"), "jaccard-wanted")
+    ids = wanted.select("doc_id", "text_hash").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text")
-    parts = wanted.join(texts, "id")
+    parts = wanted.join(rows.join(ids, ["doc_id", "text_hash"], "left_semi"), ["doc_id", "text_hash"])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = parts.select("a", "part", "role", "id", "set_a", "set_b", "text").repartition(n, "a", "part").sortWithinPartitions("a", "part", "role")
 
@@ -386,24 +387,33 @@ def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, num: int,
 
 
 def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, class_id (least id of the equal sets), component_id (least id reachable by links)."""
+    """Per row: doc_id, n_shingles, class_id (least id of the equal sets), component_id (least id reachable by links).
+
+    Least of the ids that name one set only, if there are any.
+    """
     spark = docs.sparkSession
     tune(spark)
-    rows = text_rows(docs, id_col, text_col)
+    rows = text_rows(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     signed = staged(_signed(rows, k), "jaccard-signed", codec="lz4")
 
+    # ids that name several sets
+    held = F.xxhash64("set_a", "set_b", "n")
+    twice = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(held).alias("low"), F.max(held).alias("high")).where("low <> high").select("doc_id", F.lit(True).alias("shared"))
+    twice = staged(twice, "jaccard-twice")
+    n_twice = twice.count()
     full = signed.where("n > 0 AND doc_id IS NOT NULL")
-    by_set = full.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("id"))
-    by_set = staged(by_set, "jaccard-classes")
+    if n_twice:
+        full = full.join(F.broadcast(twice) if n_twice <= BROADCAST_IDS else twice, "doc_id", "left").withColumn("shared", F.col("shared").isNotNull())
+    else:
+        full = full.withColumn("shared", F.lit(False))
+    # a class is read from one of its rows, and goes by that row's id where this names no other set
+    by_set = full.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("shared", "doc_id", "text_hash")).alias("row")).select("set_a", "set_b", "n", "row.*")
+    by_set = staged(by_set.withColumn("id", F.when(F.col("shared"), F.xxhash64("set_a", "set_b")).otherwise(F.col("doc_id"))), "jaccard-classes")
     few = by_set.count() <= BROADCAST_IDS
-    chosen = full.withColumnRenamed("doc_id", "id").join(F.broadcast(by_set) if few else by_set, ["set_a", "set_b", "n", "id"], "left_semi")
-    # an id that names several sets must not stand for any of them in links
-    twice = staged(by_set.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "jaccard-twice")
-    names = by_set
-    if not twice.isEmpty():
-        chosen, names = (x.join(twice, "id", "left_anti") for x in (chosen, names))
-    small = staged(chosen.select("id", "n", "set_a", "set_b", "sketch").dropDuplicates(["id"]), "jaccard-small")
-    texts = rows.join(F.broadcast(names) if few else names, rows["doc_id"] == names["id"]).select("id", "set_a", "set_b", "text")
+    own = by_set.select("set_a", "set_b", "doc_id", "text_hash", "id")
+    own = F.broadcast(own) if few else own
+    small = staged(full.join(own, ["set_a", "set_b", "doc_id", "text_hash"]).select("id", "doc_id", "text_hash", "n", "set_a", "set_b", "sketch").dropDuplicates(["id"]), "jaccard-small")
+    texts = rows.join(own, ["doc_id", "text_hash"]).select("id", "set_a", "set_b", "text")
     stars = staged(_shared_keys(texts, k, num, den), "jaccard-stars", codec="lz4")
     members = staged(stars.select("key", F.col("a").alias("id")).unionByName(stars.select("key", F.col("b").alias("id"))).distinct(), "jaccard-members", codec="lz4")
 
@@ -420,7 +430,11 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         if not more.isEmpty():
             labels = staged(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "jaccard-labels")
 
-    named = by_set.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_a", "set_b", "n", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    named = by_set.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_a", "set_b", "n", "shared", F.col("doc_id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    if n_twice:
+        called = named.groupBy("component_id").agg(F.min(F.struct("shared", "class_id"))["class_id"].alias("name"))
+        named = named.join(called, "component_id").withColumn("component_id", F.col("name"))
+    named = named.select("set_a", "set_b", "n", "class_id", "component_id")
     out = signed.select("doc_id", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -125,6 +125,17 @@ def test_jaccard_odd_ids(spark):
     assert left[5, text] == 1 and left[None, "all alone on this line"] == 1
 
 
+@pytest.mark.parametrize("broadcast", [-1, 500_000])
+def test_jaccard_repeated_ids_link(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", broadcast)
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(5, x), (5, y), (9, x), (12, x + " end"), (1, z), (1, "unlike all others here"), (7, z + " end"), (2, "alone among them"), (2, None)]
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.join_components(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got[12, 29] == got[9, 28] == 9 and got[7, 29] == 7 and got[2, 1] == got[2, 0] == 2 and got[1, 2] == 1
+    found = Counter((r["doc_id"], r["component_id"]) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect())
+    assert found == {(5, 9): 1, (5, 5): 1, (9, 9): 1, (12, 9): 1, (1, 7): 1, (1, 1): 1, (7, 7): 1, (2, 2): 2}
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(3)
     for _ in range(50):
