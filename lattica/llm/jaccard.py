@@ -386,11 +386,8 @@ def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, num: int,
     return rows.mapInArrow(blocks, "a long, b long").distinct()
 
 
-def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, class_id (least id of the equal sets), component_id (least id reachable by links).
-
-    Least of the ids that name one set only, if there are any.
-    """
+def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """join_components() with text_hash and component, which tells apart components of the same name (null without shingles)."""
     spark = docs.sparkSession
     tune(spark)
     rows = text_rows(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
@@ -430,31 +427,44 @@ def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         if not more.isEmpty():
             labels = staged(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "jaccard-labels")
 
-    named = by_set.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_a", "set_b", "n", "shared", F.col("doc_id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
+    named = by_set.join(labels.withColumnRenamed("node", "id"), "id", "left").select("set_a", "set_b", "n", "shared", F.col("doc_id").alias("class_id"), F.coalesce("component", "id").alias("component"))
+    named = named.withColumn("component_id", F.col("component"))
     if n_twice:
-        called = named.groupBy("component_id").agg(F.min(F.struct("shared", "class_id"))["class_id"].alias("name"))
-        named = named.join(called, "component_id").withColumn("component_id", F.col("name"))
-    named = named.select("set_a", "set_b", "n", "class_id", "component_id")
-    out = signed.select("doc_id", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        called = named.groupBy("component").agg(F.min(F.struct("shared", "class_id"))["class_id"].alias("name"))
+        named = named.join(called, "component").withColumn("component_id", F.col("name"))
+    named = named.select("set_a", "set_b", "n", "class_id", "component", "component_id")
+    out = signed.select("doc_id", "text_hash", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, class_id (least id of the equal sets), component_id (least id reachable by links).
+
+    Least of the ids that name one set only, if there are any.
+    """
+    return _joined(docs, k, num, den, id_col, text_col).select("doc_id", "n_shingles", "class_id", "component_id")
 
 
 def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, with one document left of each component: that of the least id.
+    """The rows of docs, all columns, with one row left of each component: that of the id which names it.
 
-    A repeated id is one document, of which the least text stays; rows without an id stay.
+    Rows are judged by their own text, so of a repeated id one row stays for each component that it
+    names, the least text of it; rows without an id stay.
     """
-    named = staged(join_components(docs, k, num, den, id_col, text_col).where("doc_id IS NOT NULL").select("doc_id", "component_id"), "jaccard-named")
-    own = F.col(f"`{id_col}`").cast("long")
-    gone = staged(named.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
-    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, own == F.col("_gone"), "left_anti")
-    twice = named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_twice"))
-    twice = staged(twice, "jaccard-repeated")
+    named = staged(_joined(docs, k, num, den, id_col, text_col).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash"), "component", "component_id"), "jaccard-named")
+    own, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    here = (own == F.col("_near_id")) & (F.xxhash64(text) == F.col("_near_hash"))
+    gone = staged(named.where("_near_id <> component_id").select("_near_id", "_near_hash").distinct(), "jaccard-gone")
+    rest = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, here, "left_anti")
+    stay = named.where("_near_id = component_id")
+    twice = stay.groupBy("_near_id", "component").agg(F.count("*").alias("c")).where("c > 1").withColumnRenamed("component", "_component")
+    twice = stay.join(twice.withColumnRenamed("_near_id", "_twice"), (F.col("_near_id") == F.col("_twice")) & F.col("component").eqNullSafe(F.col("_component")))
+    twice = staged(twice.select("_near_id", "_near_hash", "_component").distinct(), "jaccard-repeated")
     if twice.isEmpty():
         return rest
-    place = F.row_number().over(Window.partitionBy(own).orderBy(F.col(f"`{text_col}`")))
-    again = rest.join(twice, own == F.col("_twice"), "left_semi").withColumn("_place", place).where("_place = 1").drop("_place")
-    return rest.join(twice, own == F.col("_twice"), "left_anti").unionByName(again)
+    place = F.row_number().over(Window.partitionBy("_near_id", "_component").orderBy(F.col(f"`{text_col}`")))
+    again = rest.join(twice, here).withColumn("_place", place).where("_place = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rest.join(twice, here, "left_anti").unionByName(again)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

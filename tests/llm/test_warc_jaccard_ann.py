@@ -136,6 +136,14 @@ def test_jaccard_repeated_ids_link(spark, monkeypatch, broadcast):
     assert found == {(5, 9): 1, (5, 5): 1, (9, 9): 1, (12, 9): 1, (1, 7): 1, (1, 1): 1, (7, 7): 1, (2, 2): 2}
 
 
+def test_near_copies_by_row(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(1, x), (4, x + " end"), (4, "clean and alone"), (4, "clean and alone"), (6, y), (6, z), (7, None), (7, ""), (7, "seven"), (8, ""), (None, x), (9, z.upper()), (9, z)]
+    left = Counter((r["doc_id"], r["text"], r["more"]) for r in jaccard.without_near_copies(spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, more int")).collect())
+    want = [(1, x), (4, "clean and alone"), (6, y), (7, None), (7, "seven"), (8, ""), (None, x), (9, z.upper())]
+    assert left == Counter((*r, 3) for r in want)
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(3)
     for _ in range(50):
