@@ -24,6 +24,7 @@ rows stay.  Extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
 from functools import lru_cache
 
 import numpy as np
@@ -128,7 +129,7 @@ def distance_bound(total: int, num: int, den: int) -> int:
 def signature(s: np.ndarray, num: int, den: int) -> np.ndarray:
     """64-bit keys, one for each (band, chunk, chunk value) under which the set can be met.
 
-    A set enters its own band and, if a larger partner may be there, the next.  Chunks of fewer than
+    A set enters its own band and every further one where a larger partner may be.  Chunks of fewer than
     two shingles are common; spare chunks allow to leave those out unless a set has too many of them.
     """
     n = len(s)
@@ -136,7 +137,7 @@ def signature(s: np.ndarray, num: int, den: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     starts, keys = _band_starts(), []
     own = bisect.bisect_right(starts, n) - 1
-    for band in (own, own + 1):
+    for band in itertools.count(own):
         if band > own and n * den < starts[band] * num:
             break
         d = distance_bound(2 * (starts[band + 1] - 1), num, den)
@@ -388,6 +389,8 @@ def _apart(members: DataFrame, labels: DataFrame, classes: DataFrame, num: int,
 
 def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """join_components() with text_hash and component, which tells apart components of the same name (null without shingles)."""
+    if not 0 < num <= den:
+        raise ValueError("the threshold must be above 0 and at most 1")
     spark = docs.sparkSession
     tune(spark)
     rows = text_rows(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))

@@ -144,6 +144,24 @@ def test_near_copies_by_row(spark):
     assert left == Counter((*r, 3) for r in want)
 
 
+@pytest.mark.parametrize(("small", "num", "den"), [(100, 50, 100), (30, 25, 100), (160, 80, 100)])
+def test_partners_of_distant_sizes_share_a_key(small, num, den):
+    rng = np.random.default_rng(small)
+    for large in range(small, small * den // num + 1):
+        s = np.unique(rng.integers(0, 2**63, large, np.uint64))
+        assert len(s) == large
+        assert np.intersect1d(jaccard.signature(s, num, den), jaccard.signature(np.sort(rng.permutation(s)[:small]), num, den)).size or large == small
+
+
+def test_jaccard_of_low_threshold(spark):
+    words = [f"w{i}" for i in range(192)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:102])), (3, " ".join(words[100:140]))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 50, 100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+    with pytest.raises(ValueError):
+        jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 0, 100)
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(3)
     for _ in range(50):
