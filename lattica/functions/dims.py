@@ -124,6 +124,8 @@ DOMAIN_CONTROLS = {
     "ecommerce": ["Authentication", "RBAC", "WAF", "API Gateway"],
 }
 SURFACE = {"public_endpoints": "frontend|ui|public|api", "databases": "db|database|postgres|storage|redis", "services": "service|backend|api"}
+# What a summary names, by the words of its nodes.
+SUMMARY_PARTS = {"a frontend": "ui|frontend|client|react|app", "an API service": "api|backend|service", "a database": "db|database|postgres|storage"}
 
 # Roles in subgraph extraction.
 ENTRY_WORDS = ["api-gateway", "apigw", "load-balancer", "loadbalancer", "ingress", "gateway", "waf", "cdn", "proxy", "frontend", "front", "edge", "public", "web", "ui", "portal", "dashboard", "client", "app"]

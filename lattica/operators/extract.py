@@ -9,12 +9,18 @@ from __future__ import annotations
 from collections import deque
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions import dims
+from lattica.functions import dims, scalar
+from lattica.operators import security
+from lattica.sources.staging import staged
 
-SUBGRAPH = "arch_id long, chosen array<string>, edges array<struct<source:string,target:string,label:string>>, node_ratio double, edge_ratio double, reason string"
+SUBGRAPH = "arch_id long, nodes array<struct<id:string,type:string>>, edges array<struct<source:string,target:string,label:string>>, reason string"
+#: How a record says it was made, and the keys of its parts.
+METHOD, VERSION = "sacce_connected_subgraph_v1", "1.0.0"
+PROVENANCE = ["parent_source_id", "parent_architecture_id", "transformation_method", "transformation_version", "selected_node_ids", "selected_edge_ids", "node_retention_ratio", "edge_retention_ratio"]
+SECURITY = ["required_controls", "missing_controls", "threats", "recommendations", "risk_level", "security_score", "attack_surface", "security_summary"]
 
 
 def nested(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -142,35 +148,101 @@ def grow(nodes: list[dict], edges: list[dict], max_nodes: int = dims.MAX_NODES,
 
 def extract(graphs: DataFrame) -> DataFrame:
     """GR13, GR14, GR16: graphs (arch_id, nodes, edges) to bounded subgraphs, or the reason there is none."""
+    edge = pa.struct([(c, pa.string()) for c in ("source", "target", "label")])
+    schema = pa.schema([("arch_id", pa.int64()), ("nodes", pa.list_(pa.struct([("id", pa.string()), ("type", pa.string())]))), ("edges", pa.list_(edge)), ("reason", pa.string())])
 
     def run(it):
         for b in it:
             rows = []
             for arch, nodes, edges in zip(*(b[c].to_pylist() for c in ("arch_id", "nodes", "edges"))):
-                chosen, kept, reason = grow(nodes, edges)
-                rows.append({"arch_id": arch, "chosen": chosen, "edges": kept, "node_ratio": round(len(chosen) / max(1, len(nodes)), 4), "edge_ratio": round(len(kept) / max(1, len(edges)), 4), "reason": reason})
-            edge = pa.struct([(c, pa.string()) for c in ("source", "target", "label")])
-            schema = pa.schema([("arch_id", pa.int64()), ("chosen", pa.list_(pa.string())), ("edges", pa.list_(edge)), ("node_ratio", pa.float64()), ("edge_ratio", pa.float64()), ("reason", pa.string())])
+                broken = nodes is None or edges is None or any(n is None or n["id"] is None for n in nodes)
+                chosen, kept, reason = ([], [], "malformed_record") if broken else grow(nodes, edges)
+                kinds = {n["id"]: n["type"] for n in nodes} if chosen else {}
+                rows.append({"arch_id": arch, "nodes": [{"id": i, "type": kinds[i]} for i in chosen], "edges": kept, "reason": reason})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return graphs.select("arch_id", "nodes", "edges").mapInArrow(run, SUBGRAPH)
+    return _checked(graphs.select("arch_id", "nodes", "edges").mapInArrow(run, SUBGRAPH))
+
+
+def _linked_up(nodes: Column, edges: Column) -> Column:
+    """Whether the edges join all nodes: what the first one reaches after as many steps as there are nodes."""
+    first = F.transform(F.slice(nodes, 1, 1), lambda n: n["id"])
+    touches = lambda seen, e: F.array_contains(seen, e["source"]) | F.array_contains(seen, e["target"])
+    step = lambda seen: F.array_distinct(F.concat(seen, F.flatten(F.transform(F.filter(edges, lambda e: touches(seen, e)), lambda e: F.array(e["source"], e["target"])))))
+    reached = F.aggregate(nodes, first, lambda seen, _: step(seen))
+    return F.size(F.array_except(F.transform(nodes, lambda n: n["id"]), reached)) == 0
+
+
+def _violated(nodes: Column, edges: Column) -> Column:
+    """The first rule of the graph contract that is broken; null if none is."""
+    ids = F.transform(nodes, lambda n: n["id"])
+    return (
+        F.when((F.size(nodes) == 0) | (F.size(edges) == 0), "empty graph")
+        .when((F.size(nodes) > dims.MAX_NODES) | (F.size(edges) > dims.MAX_EDGES), "size_guardrail")
+        .when(F.exists(nodes, lambda n: ~F.coalesce(n["type"].isin(dims.NODE_TYPES), F.lit(False))), "unsupported_node_type")
+        .when(F.size(F.array_distinct(ids)) < F.size(ids), "node_id_collision")
+        .when(F.exists(edges, lambda e: ~F.array_contains(ids, e["source"]) | ~F.array_contains(ids, e["target"])), "dangling_edge")
+    )
+
+
+def _checked(out: DataFrame) -> DataFrame:
+    """Subgraphs that fell apart or break the contract get a reason."""
+    n, e = F.col("nodes"), F.col("edges")
+    late = F.when(~_linked_up(n, e), "disconnected_subgraph").otherwise(F.concat(F.lit("contract_violation:"), _violated(n, e)))
+    return out.withColumn("reason", F.coalesce("reason", late))
+
+
+def edge_keys(edges: Column) -> Column:
+    return F.transform(edges, lambda e: scalar.edge_key(e["source"], e["target"], e["label"]))
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    return F.round(F.size(part) / F.greatest(F.lit(1), F.size(whole)), 4)
+
+
+def records(graphs: DataFrame) -> DataFrame:
+    """GR16, GR17: a record of every extracted subgraph: id, parent_id, nodes, edges, provenance and security."""
+    found = staged(extract(graphs).where("reason IS NULL"), "subgraphs")
+    n = found.select("arch_id", F.posexplode("nodes").alias("pos", "n")).select("arch_id", "pos", F.col("n.id").alias("node_id"), F.col("n.type").alias("node_type"))
+    e = found.select("arch_id", F.posexplode("edges").alias("pos", "e")).select("arch_id", "pos", "e.*")
+    parents = graphs.select("arch_id", F.col("nodes").alias("all_nodes"), F.col("edges").alias("all_edges"))
+    source = F.col("arch_id").cast("string")
+    made = (source, source, F.lit(METHOD), F.lit(VERSION), F.transform("nodes", lambda x: x["id"]), edge_keys(F.col("edges")), ratio(F.col("nodes"), F.col("all_nodes")), ratio(F.col("edges"), F.col("all_edges")))
+    limits = F.struct(F.lit(dims.MAX_NODES).alias("max_nodes"), F.lit(dims.MAX_EDGES).alias("max_edges"))
+    provenance = F.struct(*(c.alias(k) for k, c in zip(PROVENANCE, made)), limits.alias("contract"))
+    with_parent = found.join(parents, "arch_id").select(F.concat(source, F.lit("#S1")).alias("id"), "arch_id", source.alias("parent_id"), "nodes", "edges", provenance.alias("provenance"))
+    return with_parent.join(security.records(n, e), "arch_id")
 
 
 def verify(subgraphs: DataFrame, parents: DataFrame) -> DataFrame:
-    """GR18, JO1, SE3: arch_id, problems (sorted) of every accepted subgraph, by values of the parent alone."""
-    p = parents.select("arch_id", F.col("nodes").alias("p_nodes"), F.col("edges").alias("p_edges"))
-    s = subgraphs.where("reason IS NULL").join(p, "arch_id", "left")
-    key = lambda e: F.concat_ws("\x1f", e["source"], e["target"], e["label"])
-    own, all_edges = F.transform("edges", key), F.transform("p_edges", key)
+    """GR18, JO1, SE3: id and problems (sorted codes) of every record, by values of the parent alone.
+
+    subgraphs: as records() makes them; a record without parent_id or with an unknown one has no parent.
+    """
+    p = parents.select(F.col("arch_id").cast("string").alias("_parent"), F.col("nodes").alias("p_nodes"), F.col("edges").alias("p_edges"))
+    s = subgraphs.join(p, F.col("parent_id") == F.col("_parent"), "left")
+    n, e, made = F.col("nodes"), F.col("edges"), F.col("provenance")
+    ids, parent_ids = F.transform(n, lambda x: x["id"]), F.transform("p_nodes", lambda x: x["id"])
+    own, whole = edge_keys(e), edge_keys(F.col("p_edges"))
     times = lambda keys, k: F.size(F.filter(keys, lambda x: x == k))
-    s = s.withColumn("own", own).withColumn("all", all_edges)
-    parent_ids = F.transform("p_nodes", lambda n: n["id"])
+    same = lambda a, b: F.coalesce(a == b, F.lit(False))
+    known = F.col("_parent").isNotNull()
     checks = {
-        "parent_not_found": F.col("p_nodes").isNull(),
-        "node_not_in_parent": F.size(F.array_except("chosen", parent_ids)) > 0,
-        "edge_not_in_parent": F.exists("own", lambda k: times(F.col("own"), k) > times(F.col("all"), k)),
-        "edge_outside_subgraph": F.exists("edges", lambda e: ~F.array_contains("chosen", e["source"]) | ~F.array_contains("chosen", e["target"])),
-        "contract": (F.size("chosen") > dims.MAX_NODES) | (F.size("edges") > dims.MAX_EDGES),
-        "ratio": F.round(F.size("chosen") / F.greatest(F.lit(1), F.size("p_nodes")), 4) != F.col("node_ratio"),
+        "parent_not_found": ~known,
+        "fabricated_node": known & (F.size(F.array_except(ids, parent_ids)) > 0),
+        "node_value_mismatch": known & F.exists(n, lambda x: F.array_contains(parent_ids, x["id"]) & ~F.exists("p_nodes", lambda y: (y["id"] == x["id"]) & y["type"].eqNullSafe(x["type"]))),
+        "edge_not_in_parent": known & F.exists(own, lambda k: times(own, k) > times(whole, k)),
+        "edge_outside_subgraph": F.exists(e, lambda x: ~F.array_contains(ids, x["source"]) | ~F.array_contains(ids, x["target"])),
+        "disconnected": ~_linked_up(n, e),
+        "contract_violation": _violated(n, e).isNotNull(),
+        "provenance_missing": made.isNull() | F.exists(F.array(*(made[k].cast("string") for k in PROVENANCE)), lambda v: F.coalesce(v, F.lit("")) == ""),
+        "provenance_node_ids": ~same(made["selected_node_ids"], ids),
+        "provenance_edge_ids": ~same(made["selected_edge_ids"], own),
+        "provenance_parent": ~same(made["parent_source_id"], F.col("parent_id")),
+        "provenance_node_ratio": known & ~same(made["node_retention_ratio"], ratio(n, F.col("p_nodes"))),
+        "provenance_edge_ratio": known & ~same(made["edge_retention_ratio"], ratio(e, F.col("p_edges"))),
+        "duplicate_node_ids": F.size(F.array_distinct(ids)) < F.size(ids),
+        "duplicate_edges": F.size(F.array_distinct(own)) < F.size(own),
+        "security_missing": F.col("security").isNull() | F.exists(F.array(*(F.col(f"security.{k}").isNull() for k in SECURITY)), lambda x: x),
     }
-    return s.select("arch_id", F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in checks.items())))).alias("problems"))
+    return s.select("id", F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in checks.items())))).alias("problems"))

@@ -2,14 +2,19 @@
 
 The greedy rule is a fold over clusters in order, but clusters of one tier and size are alike: the
 fold runs over (tier, size, number of clusters) on the driver, a table bounded by the distinct
-sizes, and clusters pick their split by their place among their like.
+sizes, and clusters pick their split by their place in that order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators.stats import numbered
+from lattica.sources.staging import staged
+
+#: Places of clusters that meet a run of places together.
+BLOCK = 10_000
 SPLITS = ["train", "validation", "test"]
 RATIOS = [0.9, 0.05, 0.05]
 
@@ -39,15 +44,28 @@ def deal(counts: list[tuple[int, int, int]], ratios: list[float] = RATIOS, relat
 
 
 def assign(records: DataFrame, cluster: str, tier: str, order: str, ratios: list[float] = RATIOS, relative: bool = True) -> DataFrame:
-    """SP2, SP3: records with a split; clusters stay whole.  Clusters of one tier and size go by their first record."""
-    clusters = records.groupBy(cluster).agg(F.count("*").alias("_size"), F.min(tier).cast("int").alias("_tier"), F.min(order).alias("_first"))
-    like = [(r["_tier"], r["_size"], r["n"]) for r in clusters.groupBy("_tier", "_size").agg(F.count("*").alias("n")).collect()]
+    """SP2, SP3: records with a split; clusters stay whole.  Clusters of one tier and size go by their first record.
+
+    Clusters are numbered over all tiers and sizes at once, and a run of numbers gets a split: no task
+    holds all clusters of a size.
+    """
+    clusters = records.groupBy(cluster).agg((-F.count("*")).alias("_less"), F.min(tier).cast("int").alias("_tier"), F.min(order).alias("_first"))
+    clusters = staged(clusters, "clusters")
+    like = [(r["_tier"], -r["_less"], r["n"]) for r in clusters.groupBy("_tier", "_less").agg(F.count("*").alias("n")).collect()]
+    runs, at, before = [], None, 0
+    for t, size, low, high, split in deal(like, ratios, relative):
+        if (t, size) != at:
+            at, start = (t, size), before
+        before = start + high
+        runs.append((start + low, start + high, SPLITS[split]))
     spark = records.sparkSession
-    ranges = spark.createDataFrame([(a, b, c, d, SPLITS[e]) for a, b, c, d, e in deal(like, ratios, relative)], "_tier int, _size long, _low int, _high int, split string")
-    place = F.row_number().over(Window.partitionBy("_tier", "_size").orderBy("_first"))
-    numbered = clusters.withColumn("_place", place)
-    dealt = numbered.join(ranges, ["_tier", "_size"]).where("_place BETWEEN _low AND _high").select(cluster, "split")
-    return records.join(dealt, cluster)
+    ranges = spark.createDataFrame(runs, "_low long, _high long, split string")
+    dealt = numbered(clusters, ["_tier", "_less", "_first"], "_place")
+    # runs are few where clusters are alike, but may be as many as clusters: meet by blocks of places
+    block = lambda c: F.floor(c / BLOCK)
+    spread = ranges.select("*", F.explode(F.sequence(block(F.col("_low")), block(F.col("_high")))).alias("_block"))
+    dealt = dealt.withColumn("_block", block(F.col("_place"))).join(spread, "_block").where("_place BETWEEN _low AND _high").select(F.col(cluster).alias("_cluster"), "split")
+    return records.join(dealt, F.col(cluster).eqNullSafe(F.col("_cluster"))).drop("_cluster")
 
 
 def straddling(records: DataFrame, cluster: str) -> DataFrame:

@@ -15,14 +15,16 @@ IMPORT = "nodes array<struct<id:string,kind:string>>, edges array<struct<source:
 
 
 def respond(raw: DataFrame, id_col: str, text_col: str, run_security: bool = True) -> DataFrame:
-    """SR12, SC13, SR13: per raw output its graph with visuals, validation and security; error if it can't be read.
+    """SR12, SC13, SR13: per raw output its graph with visuals, validation and security, or error and detail.
 
-    Blank text is an error of its own.  Without security the columns are null.
+    status: 200, 400 for blank text, 422 where no graph can be read.  Without security its columns are absent.
     """
     rows = raw.select(F.col(id_col).cast("long").alias("arch_id"), F.trim(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     parsed = staged(parsing.with_payload(rows, "text"), "parsed")
     nodes, edges = parsing.exploded(parsed.where("error IS NULL"), "arch_id")
-    out = parsed.select("arch_id", F.when(F.col("text") == "", "text is empty").otherwise(F.col("error")).alias("error"), "nodes", "edges")
+    out = parsed.select("arch_id", F.when(F.col("text") == "", "no_text").otherwise(F.col("error")).alias("error"), "nodes", "edges")
+    out = out.withColumn("status", F.when(F.col("error").isNull(), 200).when(F.col("error") == "no_text", 400).otherwise(422))
+    out = out.withColumn("detail", F.when(F.col("error").isNotNull(), F.struct(F.lit("INVALID_INPUT").alias("code"), F.col("error").alias("message"))))
     shown = F.transform("nodes", lambda n: F.struct(n["id"].alias("id"), n["type"].alias("type"), scalar.icon(n["id"]).alias("icon"), scalar.layer(n["type"]).alias("layer")))
     lines = F.transform("edges", lambda e: F.struct(e["source"].alias("source"), e["target"].alias("target"), e["label"].alias("label"), scalar.dashed(e["label"]).alias("dashed")))
     out = out.withColumn("nodes", shown).withColumn("edges", lines)

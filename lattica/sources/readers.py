@@ -30,7 +30,7 @@ def json_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def by_manifest(shards: DataFrame, manifest: DataFrame) -> DataFrame:
     """SC8: rows of shards that the manifest calls complete and whose checksum it confirms."""
     ok = manifest.where("status = 'complete' AND shard_sha256 = observed_sha256").select("range_id")
-    return shards.join(F.broadcast(ok), "range_id", "left_semi")
+    return shards.join(ok, "range_id", "left_semi")
 
 
 def split_rows(df: DataFrame, split: str, ids: list | None = None, id_col: str = "id", limit: int | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def split_rows(df: DataFrame, split: str, ids: list | None = None, id_col: str =
 
 def last_match(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """SC10: per file the first group of the pattern's last match."""
-    logs = spark.read.option("wholetext", True).text(path)
+    logs = spark.read.text(path, wholetext=True)
     found = F.regexp_extract_all("value", F.lit(pattern), F.lit(1))
     return logs.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.when(F.size(found) > 0, F.element_at(found, -1)).alias("found"))
 
@@ -54,13 +54,18 @@ def template(text: Column, pattern: str) -> Column:
 
 
 def first_seen_codes(df: DataFrame, label: str, order: str) -> DataFrame:
-    """SC12: labels numbered from 0 in order of first appearance."""
-    from pyspark.sql import Window
+    """SC12: labels numbered from 0 in order of first appearance; labels that appear together go by name."""
+    from lattica.operators.stats import numbered
 
-    first = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(order).alias("first"))
-    return first.select(label, (F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("code"))
+    first = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.min(order).alias("_first"))
+    return numbered(first, ["_first", label], "code").select(label, (F.col("code") - 1).cast("long").alias("code"))
 
 
 def describe(df: DataFrame) -> DataFrame:
     """SC2: column, type."""
     return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema], "column string, type string")
+
+
+def split_sizes(df: DataFrame, split: str) -> DataFrame:
+    """SC2: rows of every split; rows without one count as train."""
+    return df.groupBy(F.coalesce(F.col(split).cast("string"), F.lit("train")).alias("split")).agg(F.count("*").alias("rows"))

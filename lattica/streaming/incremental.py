@@ -32,6 +32,6 @@ def append_new(batch: DataFrame, target: str, key: str) -> int:
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Counts per event type and window with a watermark; works on streams and on tables.  Not in the reference."""
+    """Counts per event type and window with a watermark; works on streams and on tables.  Beside the surveyed operators."""
     rows = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     return rows.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))

@@ -3,7 +3,7 @@
 import pytest
 from conftest import SMALL, rows_of
 
-from lattica.plans import registry
+from lattica.plans import audits, registry  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))

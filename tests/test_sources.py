@@ -99,7 +99,8 @@ def test_responses(spark):
     got = {r["arch_id"]: r for r in response.respond(spark.createDataFrame(raw, "i long, t string"), "i", "t").collect()}
     assert got[1]["error"] is None and got[1]["valid"] and not got[1]["structurally_weak"]
     assert [(n["icon"], n["layer"]) for n in got[1]["nodes"]] == [(None, "ui"), ("redis", "data")]
-    assert got[2]["error"] == "text is empty" == got[4]["error"] and "complete architecture" in got[3]["error"] and got[3]["valid"] is None
+    assert got[2]["error"] == "no_text" == got[4]["error"] and got[3]["error"] == "no_object" == got[3]["detail"]["message"] and got[3]["valid"] is None
+    assert {i: r["status"] for i, r in got.items()} == {1: 200, 2: 400, 3: 422, 4: 400}
 
 
 def test_variants(spark):
