@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: a batch of long texts must still fit in a Python worker.
@@ -26,10 +26,12 @@ def tune(spark: SparkSession) -> None:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share (spark.checkpoint.dir).
 
-    Only where the setting is missing, as in local tests, a local folder is used.
+    Only where the setting is missing in a local session, as in tests, a local folder is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/lattica/{name}-{uuid.uuid4().hex}"
@@ -64,6 +66,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where df has such columns already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def text_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under fixed names; extra columns can't clash. Null text is empty."""
     return df.select(
@@ -93,11 +106,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def native_words(text: Column, pattern: str) -> Column:
-    """All matches of pattern, as a DataFrame expression."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-
-
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         if b.num_rows:

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import batches, staged
 
 
+#: Edges united at once, nodes of a forest that a task holds before it sends it, and edges that one task takes.
+EDGES, NODES, SINGLE = 100_000, 1_000_000, 400_000
+
+
 def _forest(it):
     """A task's edges as stars: every node of a local component to the component's least node."""
     parent: dict[int, int] = {}
@@ -20,25 +24,49 @@ def _forest(it):
             x = parent[x]
         return x
 
-    for b in batches(it):
-        for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist()):
-            a, c = root(u), root(v)
+    def unite(held):
+        u, v = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((v, u))
+        u, v = u[order], v[order]
+        new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
+        for x, y in zip(u[new].tolist(), v[new].tolist()):
+            a, c = root(x), root(y)
             if a != c:
                 parent[max(a, c)] = min(a, c)
-    rows = np.array([(x, root(x)) for x in parent], np.int64).reshape(-1, 2)
-    rows = rows[rows[:, 0] != rows[:, 1]]
-    for i in range(0, len(rows), 10_000):
-        yield pa.record_batch({"u": pa.array(rows[i : i + 10_000, 0]), "v": pa.array(rows[i : i + 10_000, 1])})
+
+    def stars():
+        rows = np.array([(x, root(x)) for x in parent], np.int64).reshape(-1, 2)
+        rows = rows[rows[:, 0] != rows[:, 1]]
+        parent.clear()
+        for i in range(0, len(rows), 10_000):
+            yield pa.record_batch({"u": pa.array(rows[i : i + 10_000, 0]), "v": pa.array(rows[i : i + 10_000, 1])})
+
+    held, size = [], 0
+    for b in batches(it):
+        held.append((b["u"].to_numpy(), b["v"].to_numpy()))
+        size += b.num_rows
+        if size >= EDGES:
+            unite(held)
+            held, size = [], 0
+            if len(parent) >= NODES:
+                yield from stars()
+    if held:
+        unite(held)
+    yield from stars()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable, for every node with an edge.
 
     edges: u, v (long, no nulls).  Each task first reduces its edges to a forest, so a hub costs at
-    most one row per task and node.  The star steps then shrink distances; a hub's neighbours are
-    only aggregated and joined by key.  Every round is written to the shared folder.
+    most one row per task and node.  If no more than SINGLE are left, one task unites them; else star
+    steps shrink distances, where a hub's neighbours are only aggregated and joined by key.  Every
+    round is written to the shared folder.
     """
     edges = staged(edges.select("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    if edges.count() <= SINGLE:
+        edges = staged(edges.coalesce(1).mapInArrow(_forest, "u long, v long"), "edges")
+        max_rounds = 0
     for _ in range(max_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -57,7 +85,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if several.unionByName(chained).isEmpty():
             break
     else:
-        raise RuntimeError("components did not settle")
+        if max_rounds:
+            raise RuntimeError("components did not settle")
     leaves = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     centres = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return leaves.unionByName(centres)

@@ -61,7 +61,8 @@ def shingles(text, k):
 
 
 def brute(docs, k, num, den):
-    sets = [shingles(t, k) for _, t in docs]
+    """Per row: doc_id, number of shingles, least doc_id of the rows that links reach."""
+    sets = [shingles(r[1], k) for r in docs]
     parent = list(range(len(docs)))
 
     def root(x):
@@ -76,9 +77,16 @@ def brute(docs, k, num, den):
     for i, s in enumerate(sets):
         for j, n in Counter(j for g in s for j in where[g] if j < i).items():
             if n * den >= (len(s) + len(sets[j]) - n) * num:
-                a, b = sorted((root(i), root(j)), key=lambda x: docs[x][0])
-                parent[b] = a
-    return {docs[i][0]: (len(sets[i]), docs[root(i)][0]) for i in range(len(docs))}
+                parent[root(i)] = root(j)
+    least = {}
+    for i, r in enumerate(docs):
+        if r[0] is not None:
+            least[root(i)] = min(least.get(root(i), r[0]), r[0])
+    return Counter((r[0], len(sets[i]), least.get(root(i))) for i, r in enumerate(docs))
+
+
+def found(rows):
+    return Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows.collect())
 
 
 def copies(seed):
@@ -96,52 +104,73 @@ def copies(seed):
     return docs + [(n, None), (n + 1, ""), (n + 2, " \t"), (n + 3, "a"), (n + 4, "A"), (n + 5, "a b"), (n + 6, "a\x00b c d e " * 3000)]
 
 
-@pytest.mark.parametrize(("k", "num", "den"), [(3, 90, 100), (5, 80, 100)])
-def test_jaccard(spark, monkeypatch, k, num, den):
-    monkeypatch.setattr(jaccard, "BLOCK", 7)
-    monkeypatch.setattr(jaccard, "FOLLOWERS", 5)
+#: Small bounds, so that a small table meets every case: by value or by unit, crowded values, several blocks and rounds.
+BOUNDS = [{"BLOCK": 7, "FOLLOWERS": 5, "CROWD": 3, "FEW": 2, "UNIT": 0}, {"BLOCK": 7, "CROWD": 3, "FEW": 2, "HELD": 500, "BROADCAST_IDS": -1}, {"FEW": 2}]
+
+
+@pytest.mark.parametrize(("k", "num", "den", "bounds"), [(3, 90, 100, BOUNDS[0]), (5, 80, 100, BOUNDS[1]), (5, 80, 100, BOUNDS[2])])
+def test_jaccard(spark, monkeypatch, k, num, den, bounds):
+    for name, value in bounds.items():
+        monkeypatch.setattr(jaccard, name, value)
     docs = copies(k)
-    want = brute(docs, k, num, den)
-    got = jaccard.join_components(spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n int"), k, num, den).collect()
-    assert len(got) == len(docs)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    docs += [(len(docs) - 1 - i, t) for i, t in docs[::7]] + [(None, t) for _, t in docs[::11]]  # repeated and null ids
+    df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n int")
+    assert found(jaccard.join_components(df, k, num, den)) == brute(docs, k, num, den)
+
 
+def test_dense_group_takes_rounds(spark, monkeypatch):
+    chosen = jaccard._to_test
+    monkeypatch.setattr(jaccard, "_to_test", lambda u, labels, tested, c, per, num, den: chosen(u, labels, tested, c, per // 4 - 1, num, den))
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(base[:j] + [f"x{i}"] * e + base[j + e :])) for i, (j, e) in enumerate((j, e) for e in (1, 2, 4) for j in range(0, 54, 2))]
+    assert found(jaccard.join_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 80, 100)) == brute(docs, 3, 80, 100)
 
-def test_jaccard_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BROADCAST_IDS", -1)
-    docs = copies(8)[:60]
-    got = jaccard.join_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 90, 100).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(docs, 3, 90, 100)
+
+def test_leaders_cover_all():
+    rng = np.random.default_rng(5)
+    for n, p in [(2, 1), (9, 0.3), (40, 0.05), (60, 0.5)]:
+        near = np.triu(rng.random((n, n)) < p, 1)
+        near |= near.T
+        pairs = np.array(jaccard._cover(near.copy())).reshape(-1, 2)
+        assert near[pairs[:, 0], pairs[:, 1]].all()
+        assert set(pairs.ravel()) == set(np.flatnonzero(near.any(axis=1))) and len(pairs) <= n
+
+
+def test_packed_entries():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 500):
+        key, other = rng.integers(0, 1 << 48, n, np.uint64), np.sort(rng.integers(-(1 << 62), 1 << 62, n))
+        for wide in (False, True):
+            k, o = jaccard._unpacked(jaccard._packed(key, other, wide), wide)
+            assert (k == key).all() and (o == other).all()
 
 
 def test_jaccard_odd_ids(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
-    rows = [(5, text), (5, text), (None, text), (3, text + " thirteen"), (3, "something else entirely here"), (None, "all alone on this line")]
+    rows = [(5, text), (5, text), (None, text), (3, text + " thirteen"), (3, "something else entirely here"), (None, "all alone on this line"), (0, "all alone on this line at zero")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter((r["doc_id"], r["component_id"]) for r in jaccard.join_components(df, 3, 80, 100).collect())
-    assert sum(got.values()) == len(rows) and got[5, 5] == 2 and got[None, 5] == 1 and got[None, None] == 1
-    assert jaccard.join_components(df.limit(0)).count() == 0
-    left = Counter((r["doc_id"], r["text"]) for r in jaccard.without_near_copies(df).collect())
-    assert left[5, text] == 1 and left[None, "all alone on this line"] == 1
+    assert found(jaccard.join_components(df, 3, 80, 100)) == brute(rows, 3, 80, 100)
+    assert jaccard.join_components(df.limit(0)).count() == 0 and jaccard.without_near_copies(df.limit(0)).count() == 0
+    left = Counter((r["doc_id"], r["text"]) for r in jaccard.without_near_copies(df, 3).collect())
+    assert left == Counter([(3, rows[3][1]), rows[4], rows[5], rows[6]])
 
 
 @pytest.mark.parametrize("broadcast", [-1, 500_000])
 def test_jaccard_repeated_ids_link(spark, monkeypatch, broadcast):
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", broadcast)
     x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
-    rows = [(5, x), (5, y), (9, x), (12, x + " end"), (1, z), (1, "unlike all others here"), (7, z + " end"), (2, "alone among them"), (2, None)]
-    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in jaccard.join_components(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string"), 3, 90, 100).collect()}
-    assert got[12, 29] == got[9, 28] == 9 and got[7, 29] == 7 and got[2, 1] == got[2, 0] == 2 and got[1, 2] == 1
-    found = Counter((r["doc_id"], r["component_id"]) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect())
-    assert found == {(5, 9): 1, (5, 5): 1, (9, 9): 1, (12, 9): 1, (1, 7): 1, (1, 1): 1, (7, 7): 1, (2, 2): 2}
+    rows = [(5, x), (5, x), (5, y), (9, x), (12, x + " end"), (1, z), (1, "unlike all others here"), (7, z + " end"), (2, "alone among them"), (2, None), (None, y + " end"), (4, y + " end or not")]
+    assert found(jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100)) == brute(rows, 3, 90, 100)
 
 
 def test_near_copies_by_row(spark):
     x, y, z = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
     rows = [(1, x), (4, x + " end"), (4, "clean and alone"), (4, "clean and alone"), (6, y), (6, z), (7, None), (7, ""), (7, "seven"), (8, ""), (None, x), (9, z.upper()), (9, z)]
-    left = Counter((r["doc_id"], r["text"], r["more"]) for r in jaccard.without_near_copies(spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, more int")).collect())
-    want = [(1, x), (4, "clean and alone"), (6, y), (7, None), (7, "seven"), (8, ""), (None, x), (9, z.upper())]
-    assert left == Counter((*r, 3) for r in want)
+    more = spark.createDataFrame([(*r, 3, 4, 5) for r in rows], "doc_id long, text string, id int, text_hash int, component int")
+    left = Counter((r["doc_id"], r["text"], r["id"], r["text_hash"], r["component"]) for r in jaccard.without_near_copies(more).collect())
+    want = [(1, x), (4, "clean and alone"), (6, y), (6, z), (7, None), (7, ""), (7, "seven"), (8, "")]
+    assert left == Counter((*r, 3, 4, 5) for r in want)
 
 
 @pytest.mark.parametrize(("small", "num", "den"), [(100, 50, 100), (30, 25, 100), (160, 80, 100)])
