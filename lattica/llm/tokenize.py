@@ -7,7 +7,6 @@ once and gathering ids by table lookup therefore gives exactly the ids of the wh
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from itertools import chain
@@ -32,18 +31,6 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _uncached(path: str):
-    """The file's merge model without the library's own cache, which only costs time for distinct chunks."""
-    from tokenizers import models
-
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    if model.pop("type") != "BPE":
-        raise ValueError(f"not a BPE vocabulary: {path}")
-    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model.pop("merges")]
-    return models.BPE(vocab=model.pop("vocab"), merges=merges, cache_capacity=0, **{k: v for k, v in model.items() if v is not None})
-
-
 class ChunkCache:
     """Ids of chunks, kept in flat arrays; subclasses encode chunks that are met for the first time.
 
@@ -145,21 +132,46 @@ class ChunkCache:
 
 
 class ChunkTokenizer(ChunkCache):
-    """ids of whole texts.  leading_space: chunks keep their space (byte-level), else spaces are dropped."""
+    """ids of whole texts.  leading_space: chunks keep their space (byte-level), else spaces are dropped.
+
+    The vocabulary's added tokens are looked for in the text as it is, before anything else, as the
+    library does; what lies between them is cut into chunks.
+    """
 
     def __init__(self, path: str, leading_space: bool) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.model = _uncached(path)  # chunks are cached here
+        self.tokenizer.model._resize_cache(0)  # chunks are cached here
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError(f"added tokens that take in white space or are normalised: {path}")
+        self.added = {t.content: i for i, t in added.items()}
+        longest_first = sorted(map(re.escape, self.added), key=len, reverse=True)
+        self._added = re.compile(f"({'|'.join(longest_first)})") if added else None
         super().__init__(leading_space)
         # a line feed is a token of its own between chunks without white space; so is a digit between spaces
         self.mark = "\n" if leading_space else " 1 "
         self._plain = re.compile(r" ?\S+" if leading_space else r"[^\s1]*").fullmatch
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        marked = np.zeros(len(texts), bool)
+        for content in self.added:
+            marked |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return super().encode(texts)
+        parts = [self._added.split(x.as_py()) if m else [x.as_py()] for x, m in zip(texts, marked.tolist())]
+        between, counts = super().encode(pa.array([x for p in parts for x in p[::2]], pa.string()))
+        marks = np.array([self.added[x] for p in parts for x in p[1::2]], np.uint32)
+        sizes = np.array([len(p) // 2 + 1 for p in parts])
+        last = np.zeros(len(counts), bool)
+        last[np.cumsum(sizes) - 1] = True
+        ids = np.insert(between, np.cumsum(counts)[~last], marks)
+        total = np.concatenate([[0], np.cumsum(counts + ~last)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return ids, np.diff(total)
+
     def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Plain chunks go to the library joined by a mark whose one id no plain chunk contains."""
         fed = np.fromiter((c[:1] == "\n" and len(c) > 1 and not c[1].isspace() for c in chunks), bool, len(chunks))

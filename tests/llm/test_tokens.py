@@ -12,7 +12,7 @@ from lattica.llm import packing, pieces, token_store
 from lattica.llm.common import shared_path
 from lattica.llm.tokenize import ChunkTokenizer, vocabulary_path
 
-PARTS = ["a", "B", " ", "  ", "\n", "\t", "é", "é", "'s", "1", " ", "　", "!!", "日", " x", "Σ", " ", "\x1c", "\x85", "İ", "<|endoftext|>", "ing", "the", "▁", "😀", "\x00"]
+PARTS = ["a", "B", " ", "  ", "\n", "\t", "é", "é", "'s", "1", " ", "　", "!!", "日", " x", "Σ", " ", "\x1c", "\x85", "İ", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "ing", "the", "▁", "😀", "\x00"]
 
 
 def mixed(n, seed=1):
@@ -25,8 +25,8 @@ def test_chunks_equal_whole_texts(name, leading):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(vocabulary_path(name))
-    whole.encode_special_tokens = True
-    texts = mixed(1500)
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    texts = mixed(1500) + [f"foo {x} bar" for x in added] + added + [x * 3 for x in added] + [f"{x}\n {x} " for x in added] + ["".join(added) + "a " + "".join(reversed(added))]
     t = ChunkTokenizer(vocabulary_path(name), leading)
     for _ in range(2):  # also from the cache
         ids, counts = t.encode(pa.array(texts))
@@ -62,7 +62,7 @@ def test_empty_codec():
     assert len(token_store.unpack_ids(vocab, np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), 0)) == 0
 
 
-ROWS = [(3, "c d"), (1, None), (2, "a b c"), (2, "again"), (None, "no id"), (7, ""), (9, "z " * 5000)]
+ROWS = [(3, "c d"), (4, "a<|endoftext|> b<|endoftext|><|endoftext|>"), (1, None), (2, "a b c"), (2, "again"), (None, "no id"), (7, ""), (9, "z " * 5000)]
 
 
 def test_token_files(spark):
@@ -140,6 +140,24 @@ def test_packing(spark):
     assert len(boxes) == len(by_box) and all(len(b["ids"]) == 4 * b["length"] for b in boxes)
 
 
+def test_packing_of_whole_texts(spark):
+    """Every piece is a slice of the library's ids of the whole text; few sequences more than the least there can be."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
+    rnd = random.Random(11)
+    added = [t.content for t in whole.get_added_tokens_decoder().values()]
+    docs = [(i, " ".join(rnd.choice(["some", "words", "ünd", "12", "x.", *added]) for _ in range(int(3 * 1.9 ** rnd.randrange(1, 12))))) for i in range(150)] + [(500, None), (501, ""), (7, "again")]
+    out = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = Counter()
+    for i, t in docs:
+        ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
+        want.update((i, k, 2048 * k, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids[s : s + 2048] for s in range(0, len(ids), 2048)))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    boxes = len({r["sequence_id"] for r in out})
+    assert boxes <= -(-sum(r["length"] for r in out) // 2048) + 1
+
+
 def test_empty_packing(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
