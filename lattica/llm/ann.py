@@ -3,11 +3,12 @@
 Equal vectors are one node.  Rounds of NN-descent join every node's neighbours and reverse
 neighbours with each other ("a neighbour of a neighbour is likely a neighbour"); new pairs are tried
 once, and each node keeps its K nearest.  Reverse neighbours of a popular node are dealt to several
-groups, so no group grows with the data.  A query walks the graph from nodes near it, in rounds of
-Spark joins that expand the best unexpanded nodes of every query at once.
+groups, so no group grows with the data.  A query walks the graph from the nearest of a few fixed nodes,
+in rounds of Spark joins that expand the best unexpanded nodes of every query at once, until each of
+its BEAM best nodes is expanded.
 
 Distances are Euclidean in double precision on the original vectors.  Vectors that are null, zero,
-of another length than most or hold null or non-finite components take no part.  A null id takes no
+of another length than most rows' or hold null or non-finite components take no part.  A null id takes no
 part either.  Ties go to the smaller id; repeated ids are separate candidates.  Empty tables give no
 rows.  Extra columns are ignored.
 """
@@ -25,9 +26,9 @@ from .common import batches, drop_staged, read_table, staged, tune
 DEGREE, ROUNDS, GROUP = 32, 8, 64
 #: A round that changes less than this share of all edges is the last.
 SETTLED = 0.002
-#: Beam of the search, nodes expanded per query and round, and most rounds.
-BEAM, EXPAND, HOPS = 192, 24, 12
-#: Entry nodes common to all queries (a fixed number, by hash of the id), and queries compared with them at once.
+#: Beam of the search, and nodes expanded per query and round.
+BEAM, EXPAND = 192, 24
+#: Entry nodes common to all queries (a fixed number, by hash of the id): the driver gets their vectors.
 ENTRIES = 512
 BLOB = "vector binary"
 
@@ -219,7 +220,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int) -> Da
     """query_id, node, dist: the k nearest nodes that a greedy walk of each query finds.
 
     graph (staged): u, v; nodes (staged): id, vector; queries: query_id, vector.  The walk starts at
-    the nearest of ENTRIES common nodes; a query that is itself a node starts there too.
+    the nearest of ENTRIES common nodes; a query that is itself a node starts there too.  What falls out
+    of a beam never comes back, as the beam only gets nearer, so the walk ends by itself.
     """
     # both directions, but a popular node only the nearest of those that point to it
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "dist")
@@ -229,22 +231,31 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int) -> Da
     links = staged(links, "ann-links")
 
     q = staged(queries.select("query_id", F.col("vector").alias("q")), "ann-queries")
-    entries = staged(nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).select("id"), "ann-entries")
-    same = q.join(nodes.withColumnRenamed("vector", "q"), "q").select("query_id", "id")
-    few = F.broadcast(entries.agg(F.collect_list("id").alias("ids")))
-    # every query meets the fixed entries: a stated, bounded set
-    start = q.select("query_id").join(few).select("query_id", F.explode("ids").alias("id")).unionByName(same).distinct()
+    entries = nodes.orderBy(F.xxhash64("id"), "id").limit(ENTRIES).collect()
+    ids, at = np.array([r["id"] for r in entries], np.int64), np.array([np.frombuffer(r["vector"], np.float64) for r in entries])
+
+    def enter(it):
+        """The nearest of the entry nodes, for every query of a task."""
+        for b in batches(it):
+            dists = [_distances(at, x) for x in _matrix(b["q"])]
+            near = [np.lexsort((ids, d))[:BEAM] for d in dists]
+            n = min(BEAM, len(ids))
+            yield pa.record_batch({"query_id": pa.array(np.repeat(b["query_id"].to_numpy(), n)), "id": pa.array(ids[np.concatenate(near)]), "dist": pa.array(np.concatenate([d[k] for d, k in zip(dists, near)])), "done": pa.array(np.zeros(n * len(near), bool))})
+
+    walk = "query_id long, id long, dist double, done boolean"
+    first = q.mapInArrow(enter, walk) if entries else q.select("query_id", F.col("query_id").alias("id"), F.lit(0.0).alias("dist"), F.lit(False).alias("done")).where("false")
+    same = q.join(nodes.withColumnRenamed("vector", "q"), "q").select("query_id", "id", F.lit(0.0).alias("dist"), F.lit(False).alias("done"))
 
     def measure(pairs: DataFrame) -> DataFrame:
         def dist(it):
             for b in batches(it):
                 yield pa.record_batch({"query_id": b["query_id"], "id": b["id"], "dist": pa.array(_distances(_matrix(b["q"]), _matrix(b["vector"]))), "done": pa.array(np.zeros(b.num_rows, bool))})
 
-        return pairs.join(q, "query_id").join(nodes, "id").select("query_id", "id", "q", "vector").mapInArrow(dist, "query_id long, id long, dist double, done boolean")
+        return pairs.join(q, "query_id").join(nodes, "id").select("query_id", "id", "q", "vector").mapInArrow(dist, walk)
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))
-    beam = staged(measure(start).withColumn("r", rank).where(F.col("r") <= BEAM).drop("r"), "ann-beam")
-    for _ in range(HOPS):
+    beam = staged(first.unionByName(same).distinct().withColumn("r", rank).where(F.col("r") <= BEAM).drop("r"), "ann-beam")
+    while True:  # every round expands a node of each query that is still on its way, and none twice
         todo = F.row_number().over(Window.partitionBy("query_id", "done").orderBy("dist", "id"))
         marked = beam.withColumn("r", todo)
         go = marked.where(~F.col("done") & (F.col("r") <= EXPAND)).select("query_id", F.col("id").alias("u"))
@@ -252,7 +263,8 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, k: int) -> Da
             break
         reached = go.join(links, "u").select("query_id", F.explode("near").alias("id")).distinct().join(beam, ["query_id", "id"], "left_anti")
         known = marked.select("query_id", "id", "dist", (F.col("done") | (F.col("r") <= EXPAND)).alias("done"))
-        beam = staged(known.unionByName(measure(reached)).withColumn("r", rank).where(F.col("r") <= BEAM).drop("r"), "ann-beam")
+        before, beam = beam, staged(known.unionByName(measure(reached)).withColumn("r", rank).where(F.col("r") <= BEAM).drop("r"), "ann-beam")
+        drop_staged(nodes.sparkSession, before)
     return beam.withColumn("r", rank).where(F.col("r") <= k).select("query_id", F.col("id").alias("node"), "dist")
 
 
@@ -268,6 +280,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_i
     # equal vectors: a node named by the least id, with its k + 1 least members and their number
     nodes = staged(rows.groupBy("vector").agg(F.min("id").alias("id")), "ann-nodes")
     graph = staged(build_graph(nodes), "ann-final")
+    one = nodes.select(F.octet_length("vector")).first()
+    wanted = wanted.where(F.octet_length("vector") == (one[0] if one else -1))
     found = search(graph, nodes, wanted, k + 1)
     # members of the nodes found: at most k + 1 of each, the least
     hit = staged(found, "ann-found")
