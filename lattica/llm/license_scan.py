@@ -9,7 +9,7 @@ span not much longer than the notice.
 DataFrame functions only.  Templates are a parameter of bounded size and are broadcast.  Every row
 adds one marker to its 2-grams, so rows without hits survive the inner join and carry n_words; row
 numbers keep repeated ids apart.  Null and empty texts have no words.  Extra columns are ignored.
-Whole texts are scanned.
+Whole texts are scanned, however long.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ into each place passes, and the path is the merge result.
 
 Text is escaped as the model does (a space in front, spaces as U+2581); characters without a piece
 become byte pieces.  Null text is empty and has no pieces.  Repeated rows are encoded alike; extra
-columns are ignored; whole texts are encoded.
+columns are ignored; whole texts are encoded; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ holds; the spans of the fixed patterns always stay.
 
 DataFrame functions only; the driver gets one count per (kind, votes, shape), a bounded table.
 Null and empty texts have no spans; repeated rows are scanned alike; extra columns are ignored;
-whole texts are scanned.
+whole texts are scanned, however long.  An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ labelled no step passes and all rules are off.
 DataFrame functions only; the driver gets counts per stratum, rule and score bin, and per stratum and step.  A null text has
 no words and fails the base rule; a null stratum is a stratum of its own; repeated rows are judged
 alike; labels of unknown documents and null labels are ignored, of several labels the best counts.
-Empty tables give no rows; no labels switch the learnt rules off.  Extra columns are ignored.
+Empty tables give no rows; no labels switch the learnt rules off.  Very long texts are measured whole.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, staged
+from .common import fresh, read_table, staged
 
 _SYMBOLS = r"[#*$%&|<>]"
 _MARKS = r"[!?=_~^/{}\[\]@\\]"
@@ -37,57 +38,59 @@ BINS = 64
 HOLD = 5
 #: Labelled ids are broadcast up to so many (8 bytes each); beyond, they are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_capitals", "n_marks", "n_repeat_words")
 RULES = ("symbols", "capitals", "marks", "dup_lines", "repeats", "odd_lengths")
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, n_capitals, n_marks.
+    """docs with MEASURES, which replace columns of the same names.
 
     Windows of eight words are compared by 64-bit hashes built by doubling.  Only texts that hold a
     window twice take the sorted path, which costs n log n.
     """
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() not in MEASURES]
+    words, listed, h, w, at = fresh(docs, "_words", "_lines", "_h", "_w", "_at")
     t = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.select(
         *(F.col(f"`{c}`") for c in names),
-        F.filter(F.split(t, r"[\x20\x09-\x0D]+", -1), lambda w: w != "").alias("_words"),
-        lines.alias("_lines"),
+        F.filter(F.split(t, r"[\x20\x09-\x0D]+", -1), lambda x: x != "").alias(words),
+        lines.alias(listed),
         F.regexp_count(t, F.lit(_SYMBOLS)).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(t, "[^A-Z]+", "")).cast("long").alias("n_capitals"),
         F.regexp_count(t, F.lit(_MARKS)).cast("long").alias("n_marks"),
     )
     df = df.select(
         *(F.col(f"`{c}`") for c in names),
-        F.size("_words").cast("long").alias("n_words"),
-        F.aggregate("_words", F.lit(0).cast("long"), lambda acc, w: acc + F.length(w)).alias("word_chars"),
+        F.size(words).cast("long").alias("n_words"),
+        F.aggregate(words, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x)).alias("word_chars"),
         "n_symbols",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size(listed) - F.size(F.array_distinct(listed))).cast("long").alias("n_dup_lines"),
+        F.size(listed).cast("long").alias("n_lines"),
         "n_capitals",
         "n_marks",
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_h"),
+        F.transform(words, lambda x: F.xxhash64(x)).alias(h),
     )
-    kept = [c for c in df.columns if c != "_h"]
+    kept = [c for c in df.columns if c != h]
 
     def doubled(d: DataFrame, by: int) -> DataFrame:
-        h, n = F.col("_h"), F.greatest(F.size("_h") - by, F.lit(0))
+        n = F.greatest(F.size(h) - by, F.lit(0))
         pairs = F.zip_with(F.slice(h, 1, n), F.slice(h, by + 1, n), lambda a, b: F.xxhash64(a, b))
-        return d.select(*(F.col(f"`{c}`") for c in kept), pairs.alias("_h"))
+        return d.select(*(F.col(f"`{c}`") for c in kept), pairs.alias(h))
 
     for by in (1, 2, 4):
         df = doubled(df, by)
     # a window's place beside its hash, for the few texts that repeat one
-    placed = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-    repeats = F.size(F.array_distinct("_h")) < F.size("_h")
-    df = df.select(*(F.col(f"`{c}`") for c in kept), F.when(repeats, placed).alias("_w"))
-    n = F.size("_w") - 1
-    twins = F.flatten(F.zip_with(F.slice("_w", 1, n), F.slice("_w", 2, n), lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"])).otherwise(F.array().cast("array<int>"))))
-    df = df.select(*(F.col(f"`{c}`") for c in kept), F.when(F.col("_w").isNotNull(), F.array_sort(F.array_distinct(twins))).alias("_at"))
-    m = F.greatest(F.size("_at") - 1, F.lit(0))
-    steps = F.zip_with(F.slice("_at", 1, m), F.slice("_at", 2, m), lambda a, b: F.least(b - a, F.lit(WINDOW)))
+    placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+    repeats = F.size(F.array_distinct(h)) < F.size(h)
+    df = df.select(*(F.col(f"`{c}`") for c in kept), F.when(repeats, placed).alias(w))
+    n = F.size(w) - 1
+    twins = F.flatten(F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.when(a["h"] == b["h"], F.array(a["at"], b["at"])).otherwise(F.array().cast("array<int>"))))
+    df = df.select(*(F.col(f"`{c}`") for c in kept), F.when(F.col(w).isNotNull(), F.array_sort(F.array_distinct(twins))).alias(at))
+    m = F.greatest(F.size(at) - 1, F.lit(0))
+    steps = F.zip_with(F.slice(at, 1, m), F.slice(at, 2, m), lambda a, b: F.least(b - a, F.lit(WINDOW)))
     covered = F.aggregate(steps, F.lit(WINDOW).cast("long"), lambda acc, s: acc + s)
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.when(F.col("_at").isNotNull(), covered).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.when(F.col(at).isNotNull(), covered).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
 
 
 def base_failed() -> Column:
@@ -157,10 +160,10 @@ def fit(features: DataFrame, labels: DataFrame, stratum: str, alpha: float = ALP
     features: doc_id, the stratum and measured() columns; labels: doc_id, quality.
     """
     best = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = features.join(best, "doc_id").where(~base_failed())
+    known = features.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{stratum}`").alias("stratum"), *MEASURES).join(best, "doc_id").where(~base_failed())
     bins = F.array(*(F.ceil(c * BINS).cast("int") for c in scores().values()))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD)) == 0
-    known = staged(known.select(F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), (F.col("quality") == 1).alias("good"), held.alias("held"), bins.alias("bins")), "quality-bins")
+    known = staged(known.select(F.coalesce(F.col("stratum").cast("string"), F.lit("")).alias("stratum"), (F.col("quality") == 1).alias("good"), held.alias("held"), bins.alias("bins")), "quality-bins")
 
     counts = known.select("stratum", "good", "held", F.posexplode("bins").alias("rule", "bin")).groupBy("stratum", "good", "held", "rule", "bin").agg(F.count("*").alias("n")).collect()
     strata = sorted({r["stratum"] for r in counts})

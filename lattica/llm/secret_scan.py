@@ -5,8 +5,8 @@ samples.  A candidate token whose log-likelihood ratio exceeds the prior odds is
 `random`, unless it touches a span of the fixed patterns; those always stay.
 
 DataFrame functions only.  The models are one table of (alphabet + 1) squared numbers.  Null and
-empty texts have no spans; repeated rows are scanned alike; extra columns are ignored; whole texts
-are scanned.
+empty texts have no spans; repeated rows are scanned alike; an empty table gives no rows; extra columns
+are ignored; whole texts are scanned, however long.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans as S
-from .common import read_table, text_rows
+from .common import read_table, staged, text_rows
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 _KEYWORD = r"(?i)password|passwd|secret|token|api_?key"
@@ -59,7 +59,7 @@ def labelled_samples(docs: DataFrame) -> DataFrame:
     # a few more by hash than asked for, so that only those meet in the sorted limit
     share = min(1.0, 1.3 * SAMPLE_DOCS / max(1, docs.count()))
     picked = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    some = docs.where(picked).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    some = staged(docs.where(picked).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS), "secret-sample")
     b = base_spans(F.col("text"))
     found = some.select(F.explode(F.concat(*(F.transform(x, lambda s: F.regexp_extract(s["match"], r"([A-Za-z0-9+/_=-]+)$", 1)) for x in b.values()))).alias("token"), F.lit(True).alias("is_random"))
     cleaned = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", _ASSIGN, " "), _ACCESS, " "), _HEX, " ")

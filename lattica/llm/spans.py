@@ -97,5 +97,3 @@ def passes_luhn(match: Column) -> Column:
     total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + worth(i))
     return n.between(12, 19) & F.when(n.between(12, 19), total % 10 == 0).otherwise(False)
 
-
-Check = Callable[[Column], Column]

@@ -229,6 +229,32 @@ def test_path_order():
     assert quality.path(good, bad) == [(1, 49), (0, 8), (0, 2)]
 
 
+#: Names that the operators use inside or give out.
+CLASHING = "doc_id long, text string, lang string, n_words int, n_assign int, n_email string, spans string, base int, row int, words string, stratum int, quality int, _words int, _h int, _at int, _nth int, id string, votes int, template int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, lang, 1, 2, "x", "y", 3, 4, "z", 5, 6, 7, 8, 9, 10, "q", 11, 12) for i, t, lang in rows], CLASHING)
+
+
+def test_empty_tables_and_clashing_names(spark):
+    rows = [(1, "mail a@b.de now token=abcdefgh mit license", "en"), (1, "mail a@b.de now token=abcdefgh mit license", "en"), (2, None, None), (None, "", "en")]
+    df, labels = clashing(spark, rows), spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int")
+    for scan, column in ((secret_scan.scan, "n_assign"), (pii.scan, "n_email"), (license_scan.scan, "n_base")):
+        got = Counter((r["doc_id"], r[column]) for r in scan(df).collect())
+        assert got == Counter({(1, 1): 2, (2, 0): 1, (None, 0): 1})
+        assert scan(df.limit(0)).count() == 0
+    measured = quality.measured(df)
+    assert Counter(r["n_words"] for r in measured.collect()) == Counter({6: 2, 0: 2}) and {"id", "_h", "row", "quality"} <= set(measured.columns)
+    for step in (lambda d: quality.keep_good(d, labels), secret_scan.redact_secrets):
+        out = step(df)
+        assert out.columns == df.columns and step(df.limit(0)).count() == 0
+    assert Counter(r["text"] for r in secret_scan.redact_secrets(df).collect())["mail a@b.de now [SECRET] mit license"] == 2
+    long = clashing(spark, [(3, " ".join(f"word{i}" for i in range(25)), "en")] * 2)
+    assert [r["row"] for r in quality.keep_good(long, labels.limit(0)).collect()] == [4, 4]
+    assert quality.keep_good(df, labels).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(llm.QUERIES))
 def test_query(spark, duck, name):
     got = llm.QUERIES[name](spark, SMALL).toPandas()
