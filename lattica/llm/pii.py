@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and further spans by weak supervision.
 
-Labelers (format checks as regular expressions, gazetteers, words of the context) vote on candidate
-spans.  Expectation-maximisation over the counts of vote patterns estimates every labeler's
+Labelers (format checks as regular expressions, gazetteers of providers, area codes, bank countries, makers,
+names and places, words of the context) vote on candidate spans.  Expectation-maximisation over the counts of vote patterns estimates every labeler's
 reliability and each pattern's posterior; a naive-Bayes span classifier is then trained on the
 posteriors with the span's shape as a further feature.  Candidates it accepts are added, and so is
 every clear one (strict format, a word that names it, no vote against), whatever else the table
@@ -48,24 +48,41 @@ STRICT = {
     "iban": r"^(?:AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM)",
     "mac": r"^(?!(?:00:){5}00|(?i:ff:){5}(?i:ff)).",
 }
-#: Gazetteer: words that name the kind of data, looked for up to CONTEXT characters before a span.
+#: Gazetteers.  Given names, cities, mail providers, area codes of large cities, makers' prefixes of network cards.
+NAMES = "james mary john patricia robert jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen anna peter maria hans klaus petra monika jean marie pierre sophie luis carmen jose ana juan pablo lucia emma olivia".split()
+PLACES = "london paris berlin madrid rome vienna munich hamburg barcelona lyon marseille valencia seville cologne frankfurt chicago boston houston dallas seattle denver miami atlanta phoenix detroit".split()
+PROVIDERS = "gmail googlemail yahoo outlook hotmail icloud proton protonmail aol gmx web t-online orange laposte libero telefonica".split()
+AREAS = "202 205 206 212 213 214 215 216 303 305 310 312 313 314 404 408 412 414 415 469 480 503 504 510 512 602 612 614 615 617 619 646 650 702 713 718 720 773 801 816 818 832 858 901 904 916 917 919 949 972".split()
+MAKERS = "00:1a:2b 00:1b:63 00:1c:b3 00:50:56 00:0c:29 00:15:5d 08:00:27 3c:5a:b4 a4:83:e7 b8:27:eb dc:a6:32 f0:18:98 f4:f5:d8 fc:fb:fb".split()
+_PERSON = rf"(?i)\b(?:{'|'.join(NAMES + PLACES)})\b"
+#: What the gazetteer labeler looks for in a span, or around it.
+LISTED = {
+    "spelled_email": (True, rf"(?i)(?:{'|'.join(PROVIDERS)})"),
+    "local_phone": (True, rf"^\(?(?:{'|'.join(AREAS)})"),
+    "national_id": (False, _PERSON),
+    "iban": (False, _PERSON),
+    "mac": (True, rf"(?i)^(?:{'|'.join(MAKERS)})"),
+}
+#: Context: words that name the kind of data, looked for up to CONTEXT characters before a span.
 CUES = {
-    "spelled_email": r"(?i)e-?mail|contact|write|reach|correo|courriel|kontakt",
+    "spelled_email": r"(?i)\be?-?mail|contact|write|reach|correo|courriel|kontakt",
     "local_phone": r"(?i)\btel|phone|mobile|\bcell|\bcall|\bfax|telefon|teléfono|téléphone",
     "national_id": r"(?i)\bssn\b|social security|national id|tax id|identity",
     "iban": r"(?i)\biban\b|account|konto|cuenta|compte|\bbank",
     "mac": r"(?i)\bmac\b|hardware address|ethernet|device",
 }
-#: Context of other numbers.
+#: Context of other numbers, right before a span.
 ANTI = r"(?i)\b(?:isbn|issn|doi|version|ver|rev|build|order|invoice|part|serial|sku|page|chapter|figure|table|section|vol|no)\b[^A-Za-z]*$"
 CONTEXT = 40
-LABELERS = 4
+LABELERS = 5
 #: A span is added if the classifier is at least so sure.
 SURE = 0.95
 #: Before any vote: the share of candidates that is personal data, and how often a labeler that votes is right.
 PRIOR, RELIABLE, ROUNDS = 0.2, 0.8, 30
-#: Least probability of a clear span: strict format and gazetteer for, no labeler against.
+#: Least probability of a clear span: strict format and context for, no labeler against.
 CLEAR = 0.98
+#: Most probability of a span that the context or its own form speaks against.
+VETOED = 0.5
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -80,7 +97,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _votes(kind: str, text: Column, s: Column) -> Column:
-    """One digit per labeler, 0 against, 1 abstains, 2 for: strict format, gazetteer, other context, separators."""
+    """One digit per labeler, 0 against, 1 abstains, 2 for: strict format, context, other context, placeholder, gazetteer."""
     lead = F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)), F.least(s["start"], F.lit(CONTEXT)))
     vote = lambda yes, no=None: F.when(yes, "2").when(no if no is not None else F.lit(False), "0").otherwise("1")
     distinct = F.size(F.array_distinct(F.split(F.regexp_replace(F.lower(s["match"]), "[^0-9a-z]", ""), "")))
@@ -89,6 +106,7 @@ def _votes(kind: str, text: Column, s: Column) -> Column:
         vote(lead.rlike(CUES[kind])),
         vote(F.lit(False), lead.rlike(ANTI)),
         vote(F.lit(False), distinct <= 3),  # one character repeated: a placeholder
+        vote((s["match"] if LISTED[kind][0] else lead).rlike(LISTED[kind][1])),
     )
 
 
@@ -109,13 +127,18 @@ def is_clear(votes: str) -> bool:
     return votes.startswith("22") and "0" not in votes
 
 
+def is_vetoed(votes: str) -> bool:
+    """The context says that it is another number, or it is a placeholder."""
+    return "0" in votes[2:4]
+
+
 def estimate(counts: dict[tuple[str, str, int], int]) -> dict[tuple[str, str, int], float]:
     """Probability of being personal data by (kind, votes, shape), from their counts alone.
 
     EM per kind over two classes; a labeler's reliabilities are its chances of each vote in each
     class, smoothed towards RELIABLE.  With few candidates the prior beliefs decide.  No vote
     for (against) makes a span less (more) likely, so the classes can't change places where one of
-    them has few votes.  Clear spans have at least CLEAR.
+    them has few votes.  Clear spans have at least CLEAR, vetoed ones at most VETOED.
     """
     out = {}
     for kind in {k for k, _, _ in counts}:
@@ -154,7 +177,7 @@ def estimate(counts: dict[tuple[str, str, int], int]) -> dict[tuple[str, str, in
         for v, s, _ in rows:
             odds = math.log(max(p[v], 1e-12) / max(1 - p[v], 1e-12)) + math.log(shape[True][s] / size[True]) - math.log(shape[False][s] / size[False])
             found = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-            out[kind, v, s] = max(found, CLEAR) if is_clear(v) else found
+            out[kind, v, s] = max(found, CLEAR) if is_clear(v) else min(found, VETOED) if is_vetoed(v) else found
     return out
 
 
