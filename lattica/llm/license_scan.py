@@ -3,8 +3,8 @@
 All rolling word 2-grams of a text are hashed and joined to the positions of 2-grams in templates;
 hits whose words differ are dropped.  A hit votes for the diagonal place - template position.  A
 phrase stands wherever its diagonal has every vote.  For longer notices, diagonals up to MERGE apart
-(words put in or left out) are merged, and a notice counts if enough of its 2-grams vote within a
-span not much longer than the notice.
+(words put in or left out) are merged, and the span is verified: a notice counts if enough of its
+2-grams, each compared word by word and counted once, stand within a span not much longer than it.
 
 DataFrame functions only.  Templates are a parameter of bounded size and are broadcast.  Every row
 adds one marker to its 2-grams, so rows without hits survive the inner join and carry n_words; row
@@ -33,11 +33,28 @@ NOTICES = [
     ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("ofl", "This Font Software is licensed under the SIL Open Font License, Version 1.1"),
+    ("cddl", "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License"),
+    ("artistic", "This is free software; you can redistribute it and/or modify it under the terms of the Artistic License"),
+    ("wtfpl", "This program is free software. It comes without any warranty, to the extent permitted by applicable law. You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
 ]
 
 #: Diagonals merged to either side, the share of votes a notice needs, and how much longer its span may be.
 MERGE, SHARE, STRETCH = 3, 0.6, 1.5
+#: Overlapping notices whose scores differ by no more all stay.
+CLOSE = 0.02
 
 
 def template_words(text: str) -> list[str]:
@@ -61,8 +78,8 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(lower, _DELIMITER, -1), lambda w: w != "")
 
 
-def votes(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, n_words, template (null: the row's marker), diagonal, votes, first and last place."""
+def votes(docs: DataFrame, grams: DataFrame, n_phrases: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id, n_words, template (null: the row's marker), diagonal, votes, the notice's places, first and last place."""
     rows = text_rows(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", _words(F.col("text")).alias("words"))
     n = F.greatest(F.size("words") - 1, F.lit(0))
     hashes = F.zip_with(F.slice("words", 1, n), F.slice("words", 2, n), lambda a, b: F.xxhash64(a, b))
@@ -79,7 +96,8 @@ def votes(docs: DataFrame, grams: DataFrame, id_col: str = "doc_id", text_col: s
     same = (F.get("words", F.col("place")) == F.col("first")) & (F.get("words", F.col("place") + 1) == F.col("second"))
     hits = hits.where(F.when(F.col("template").isNull(), is_marker).otherwise(~is_marker & same))
     hits = hits.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "template", (F.col("place") - F.col("at")).alias("diagonal"), "place")
-    return hits.groupBy("row", "doc_id", "n_words", "template", "diagonal").agg(F.count("*").alias("votes"), F.min("place").alias("low"), F.max("place").alias("high"))
+    at = F.col("place") - F.col("diagonal")
+    return hits.groupBy("row", "doc_id", "n_words", "template", "diagonal").agg(F.count("*").alias("votes"), F.collect_set(F.when(F.col("template") >= n_phrases, at)).alias("ats"), F.min("place").alias("low"), F.max("place").alias("high"))
 
 
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -88,15 +106,15 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: list[t
     spans: label, first and last word and score of every phrase and notice found, at most one per diagonal.
     """
     grams, about = template_grams(docs.sparkSession, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
-    found = votes(docs, grams, id_col, text_col)
+    found = votes(docs, grams, sum(phrase for _, phrase, _ in about), id_col, text_col)
     label, is_phrase, total = (F.element_at(F.array(*(F.lit(a[k]) for a in about)), F.col("template") + 1) for k in range(3))
     near = Window.partitionBy("row", "doc_id", "n_words", "template").orderBy("diagonal").rangeBetween(-MERGE, MERGE)
     merged = found.select(
         "row", "doc_id", "n_words", "template", "diagonal", "votes", "low", "high",
-        F.sum("votes").over(near).alias("all_votes"), F.min("low").over(near).alias("all_low"), F.max("high").over(near).alias("all_high"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats").over(near)))).alias("verified"), F.min("low").over(near).alias("all_low"), F.max("high").over(near).alias("all_high"),
     )
     known = F.col("template").isNotNull()
-    share = F.when(F.coalesce(is_phrase, F.lit(False)), F.col("votes") / total).otherwise(F.least(F.col("all_votes") / total, F.lit(1.0)))
+    share = F.when(F.coalesce(is_phrase, F.lit(False)), F.col("votes") / total).otherwise((F.col("verified") / total))
     fits = F.col("all_high") - F.col("all_low") + 1 <= STRETCH * total
     merged = merged.select("row", "doc_id", "n_words", "diagonal", "low", "high", label.alias("label"), is_phrase.alias("phrase"), F.when(known, share).otherwise(F.lit(0.0)).alias("share"), fits.alias("fits"))
     base = F.col("phrase") & (F.col("share") >= 1.0)
@@ -108,11 +126,15 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices: list[t
         F.min(at).alias("first_word"),
         F.max(at).alias("last_word"),
         F.array_sort(F.collect_set(F.when(base, F.col("label")))).alias("base"),
-        F.array_sort(F.collect_set(F.when(base | notice, F.col("label")))).alias("all"),
+        F.collect_list(F.when(base, span)).alias("phrases"),
+        F.collect_list(F.when(notice, span)).alias("notices"),
         F.max(F.when(F.col("phrase") & ~base, F.lit(0.0)).otherwise(F.when(F.col("phrase") | F.col("fits"), F.col("share")).otherwise(F.lit(0.0)))).alias("score"),
-        F.array_sort(F.collect_list(F.when(base | notice, span))).alias("spans"),
     )
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join("all", ",").alias("labels"), "score", "spans")
+    # notices of one family share most words: of those that overlap the best stays
+    better = lambda s, t: (t["score"] > s["score"] + CLOSE) & (t["first"] < s["last"]) & (s["first"] < t["last"])
+    out = out.withColumn("notices", F.filter("notices", lambda s: ~F.exists("notices", lambda t: better(s, t))))
+    labels = F.array_sort(F.array_union("base", F.transform("notices", lambda s: s["label"])))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), "score", F.array_sort(F.concat("phrases", "notices")).alias("spans"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
