@@ -1,6 +1,7 @@
 """WARC archives and their capture index.
 
-Writing: one gzip member per record, as crawlers do.  Archives go through Spark's committing text
+Writing: one gzip member per record, as crawlers do, behind a warcinfo record.  A page's block is an
+HTTP response whose body is the payload; a revisit's block is the HTTP head alone.  Archives go through Spark's committing text
 writer, each as one value, so any file system of the cluster will do and a retried task leaves one
 copy; the writer's line separator is an empty gzip member, which every reader skips.
 
@@ -8,8 +9,8 @@ Index: every archive that is read gives a run of captures sorted by (URL key, ti
 Runs are cut at common range bounds and each range is merged from its runs by a loser tree, so the
 concatenated ranges are the globally ordered capture histories.
 
-Nulls: a null payload is empty, a null URL gives an empty key; rows with a null id are written and
-read too.  Repeated ids are records of their own.  Empty tables give no rows.  Extra columns are
+Nulls: a null payload is empty; a null URL gives an empty key and its record names the page itself as
+target; rows with a null id are written and read too.  Repeated ids are records of their own.  Empty tables give no rows.  Extra columns are
 ignored.  Payloads are never cut.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -32,7 +34,7 @@ REVISIT_BYTES = 1000
 #: Uncompressed bytes of an archive, about.
 ARCHIVE_BYTES = 64 << 20
 #: Captures in a merge range, about; a task holds one range's slices of all runs.
-RANGE_ROWS = 200_000
+RANGE_ROWS = 50_000
 #: The revisits are broadcast up to so many rows (16 bytes each); beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -55,17 +57,27 @@ def _member(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
+def _block(headers: list[str], body: bytes) -> bytes:
+    return "\r\n".join(["WARC/1.1", *headers, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+
+
+def _named(page_id) -> str:
+    return f"<urn:page:{'null' if page_id is None else page_id}>"
+
+
+def _info(path: str) -> bytes:
+    """The record that opens an archive."""
+    body = b"software: lattica\r\nformat: WARC File Format 1.1\r\n"
+    return _block(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>", f"WARC-Date: {_captured(0)}", "Content-Type: application/warc-fields"], body)
+
+
 def _record(kind: str, page_id, url, captured: str, payload: bytes, digest: str, refers_to) -> bytes:
-    named = lambda i: f"<urn:page:{'null' if i is None else i}>"
-    body = payload if kind == "response" else b""
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {named(page_id)}", f"WARC-Date: {captured}"]
-    if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\r\n]+", " ", url))
-    head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    target = _named(page_id)[1:-1] if url is None else re.sub(r"[\r\n]+", " ", url)
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: {_named(page_id)}", f"WARC-Date: {captured}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}"]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {named(refers_to)}"]
-    head += ["Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]
-    return "\r\n".join(head).encode() + body + b"\r\n\r\n"
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_named(refers_to)}"]
+    return _block([*head, "Content-Type: application/http;msgtype=response"], http + payload if kind == "response" else http)
 
 
 def _captured(page_id) -> str:
@@ -73,8 +85,8 @@ def _captured(page_id) -> str:
     return datetime.fromtimestamp((page_id or 0) % (1 << 32), UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def read_records(blob: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, compressed bytes, headers, body) of every record of an archive."""
+def read_records(blob: bytes) -> Iterator[tuple[int, int, dict[str, str], dict[str, str], bytes]]:
+    """(offset, compressed bytes, headers, HTTP headers, payload) of every page's record of an archive."""
     at = 0
     while at < len(blob):
         z = zlib.decompressobj(31)
@@ -87,7 +99,9 @@ def read_records(blob: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]
             n = int(headers["Content-Length"])
             if lines[0] != "WARC/1.1" or rest[n:] != b"\r\n\r\n":
                 raise ValueError(f"damaged record at {at}")
-            yield at, size, headers, rest[:n]
+            if headers["WARC-Type"] != "warcinfo":
+                http, _, payload = rest[:n].partition(b"\r\n\r\n")
+                yield at, size, headers, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
         at += size
 
 
@@ -116,16 +130,17 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
     def archive(it):
         members, size = [], 0
+        info = _member(_info(path))
         for b in batches(it):
             for page_id, url, payload, digest, refers_to in zip(*(b[c].to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to"))):
                 kind = "response" if refers_to is None else "revisit"
                 members.append(_member(_record(kind, page_id, url, _captured(page_id), payload, digest, refers_to)))
                 size += len(payload)
                 if size >= ARCHIVE_BYTES:
-                    yield pa.record_batch({"value": pa.array([b"".join(members)], pa.binary())})
+                    yield pa.record_batch({"value": pa.array([b"".join([info, *members])], pa.binary())})
                     members, size = [], 0
         if members:
-            yield pa.record_batch({"value": pa.array([b"".join(members)], pa.binary())})
+            yield pa.record_batch({"value": pa.array([b"".join([info, *members])], pa.binary())})
 
     blobs = resolve_revisits(rows).mapInArrow(archive, "value binary").select(F.col("value").cast("string").alias("value"))
     blobs.write.option("maxRecordsPerFile", 1).option("lineSep", _EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
@@ -143,12 +158,13 @@ def capture_runs(spark: SparkSession, path: str) -> DataFrame:
         for b in batches(it):
             for name, blob in zip(b["path"].to_pylist(), b["content"]):
                 rows = []
-                for at, size, h, body in read_records(blob.as_py()):
+                for at, size, h, http, body in read_records(blob.as_py()):
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     if h["WARC-Type"] == "response" and hashlib.sha1(body).hexdigest() != digest:
                         raise ValueError(f"payload differs from its digest: {name} at {at}")
-                    url = h.get("WARC-Target-URI")
-                    rows.append((url_key(url), h["WARC-Date"], the_id(h["WARC-Record-ID"]), url, int(h["X-Payload-Length"]), digest, h["WARC-Type"], the_id(h.get("WARC-Refers-To")), name, at, size))
+                    url = h["WARC-Target-URI"]
+                    url = None if f"<{url}>" == h["WARC-Record-ID"] else url
+                    rows.append((url_key(url), h["WARC-Date"], the_id(h["WARC-Record-ID"]), url, int(http["Content-Length"]), digest, h["WARC-Type"], the_id(h.get("WARC-Refers-To")), name, at, size))
                 rows.sort(key=sort_key)
                 for i in range(0, len(rows), 5000):
                     columns = list(zip(*rows[i : i + 5000]))

@@ -101,10 +101,10 @@ def test_many_matches(spark, n):
 
 
 def test_weak_supervision():
-    counts = {("national_id", "2211", 1): 60, ("national_id", "2111", 1): 40, ("national_id", "0101", 1): 300, ("national_id", "2101", 1): 100}
+    counts = {("national_id", "22111", 1): 60, ("national_id", "21111", 1): 40, ("national_id", "01011", 1): 300, ("national_id", "21011", 1): 100}
     p = pii.estimate(counts)
-    assert p["national_id", "2211", 1] > 0.95 > 0.5 > p["national_id", "0101", 1]
-    assert p["national_id", "2211", 1] > p["national_id", "2111", 1] > p["national_id", "2101", 1]
+    assert p["national_id", "22111", 1] > 0.95 > 0.5 > p["national_id", "01011", 1]
+    assert p["national_id", "22111", 1] > p["national_id", "21111", 1] > p["national_id", "21011", 1]
     assert pii.estimate({}) == {}
 
 
@@ -114,14 +114,36 @@ def test_added_personal_data(spark):
     assert all(found[i] == ["national_id"] for i in range(60)) and not any(found[100 + i] for i in range(60))
 
 
-@pytest.mark.parametrize("others", [{}, {"2111": 50_000}, {"0111": 50_000}, {"0211": 100_000}, {"2201": 1000}, {"0211": 50, "2201": 50}])
+@pytest.mark.parametrize("others", [{}, {"21111": 50_000}, {"01111": 50_000}, {"02111": 100_000}, {"22011": 1000}, {"02111": 50, "22011": 50}])
 def test_clear_spans_whatever_else_there_is(others):
     for n in (1, 50, 5000):
-        p = pii.estimate({("national_id", v, 1): m for v, m in {"2211": n, **others}.items()})
-        assert p["national_id", "2211", 1] >= pii.SURE
+        p = pii.estimate({("national_id", v, 1): m for v, m in {"22111": n, **others}.items()})
+        assert p["national_id", "22111", 1] >= pii.SURE
         assert all(x < pii.SURE for (_, v, _), x in p.items() if "0" in v)
 
 
+#: Planted spans of every kind: with context, with context and a listed word, and the same format beside words that speak against it.
+PLANTED = {
+    "spelled_email": ["write to ann.lee [at] example [dot] org", "contact john.doe (at) gmail (dot) com", "mail me: kim{at}firm{dot}de"],
+    "local_phone": ["call (212) 555-0147", "my phone is 415-555-2671", "tel 303.555.0199"],
+    "national_id": ["SSN 219-45-1034 of Maria", "social security 412-33-8821", "Peter from Boston, SSN: 518-20-7741"],
+    "iban": ["IBAN DE89 3704 0044 0532 0130 00", "bank account FR1420041010050500013M02", "Konto: ES9121000418450200051332"],
+    "mac": ["MAC 00:1a:2b:3c:4d:5e", "device b8:27:eb:12:34:56", "ethernet a4:83:e7:00:11:2f"],
+}
+AGAINST = ["part no 219-45-1034", "invoice 415-555-2671", "order 518-20-7741", "ISBN 303-555-0199", "version 11:11:11:11:11:11"]
+
+
+def test_recall_by_kind(spark):
+    rows = [(kind, f"some words before, {text}, and after {i}") for kind, texts_ in PLANTED.items() for i, text in enumerate(texts_ * 4)]
+    rows += [("none", f"see the {text} there {i}") for i, text in enumerate(AGAINST * 6)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in pii.scan(docs).collect()}
+    for kind in PLANTED:
+        own = [i for i, r in enumerate(rows) if r[0] == kind]
+        assert sum(kind in found[i] for i in own) >= 0.9 * len(own), kind
+    assert not any(found[i] for i, r in enumerate(rows) if r[0] == "none")
+
+
 def test_lone_span(spark):
     row = (1, "Her SSN is 219-45-1034, she said")
     for more in ([], [(i, f"see {200 + i % 400}-45-{1000 + i}") for i in range(2, 500)]):
@@ -150,11 +172,25 @@ def test_licenses(spark):
 def test_notices(spark):
     whole = [t for _, t in license_scan.NOTICES]
     edited = whole[3].replace("redistribute it", "freely redistribute it").upper()
-    rows = [(0, "intro " + whole[0]), (1, edited), (2, " ".join(reversed(whole[0].split()))), (3, whole[4][:60]), (4, whole[5] + " x " + whole[1])]
+    mpl = next(t for label, t in license_scan.NOTICES if label == "mpl")
+    rows = [(0, "intro " + whole[0]), (1, edited), (2, " ".join(reversed(whole[0].split()))), (3, whole[4][:60]), (4, mpl + " x " + whole[1])]
+    rows += [(10, "this software is " * 60), (11, "you may not use this file you may not use this file you may obtain a copy you may obtain a copy of the license")]
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0]["labels"] == "mit" and got[0]["base_labels"] == "" and got[0]["score"] == 1.0
     assert [s["first"] for s in got[0]["spans"]] == [1]
     assert got[1]["labels"] == "gpl" and got[2]["labels"] == "" and got[3]["labels"] == "" and got[4]["labels"] == "apache,mpl"
+    assert got[10]["labels"] == got[11]["labels"] == ""
+
+
+def test_every_notice_is_found(spark):
+    """Whole, and with a word in ten put in; each under its own label."""
+    rows = []
+    for i, (label, text) in enumerate(license_scan.NOTICES):
+        words = text.split()
+        rows += [(2 * i, f"some lines before {text} and after"), (2 * i + 1, " ".join(w + (" really" if k % 10 == 9 else "") for k, w in enumerate(words)))]
+    got = {r["doc_id"]: r["labels"].split(",") for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _) in enumerate(license_scan.NOTICES):
+        assert label in got[2 * i] and label in got[2 * i + 1], (label, got[2 * i], got[2 * i + 1])
 
 
 def measures(text):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -44,7 +45,13 @@ def test_archives(spark):
     blobs = {f["path"]: bytes(f["content"]) for f in spark.read.format("binaryFile").load(path).collect()}
     r = next(r for r in merged if r["page_id"] == 8)
     (record,) = list(warc.read_records(blobs[r["archive"]][r["record_offset"] : r["record_offset"] + r["record_bytes"]]))
-    assert record[3].decode() == "a\r\n\r\nWARC/1.1\r\n" * 100
+    assert record[4].decode() == "a\r\n\r\nWARC/1.1\r\n" * 100 and record[3]["Content-Length"] == str(len(record[4]))
+    assert record[2]["Content-Type"] == "application/http;msgtype=response" and record[2]["WARC-Target-URI"] == "http://a.com/"
+    for blob in filter(None, blobs.values()):
+        first = zlib.decompressobj(31).decompress(blob)
+        assert first.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        assert all("WARC-Target-URI" in h and h["WARC-Date"] for _, _, h, _, _ in warc.read_records(blob))
+    assert next(r for r in merged if r["page_id"] == 5)["url"] is None
     assert warc.histories(warc.merge_runs(runs)).count() == len({r["urlkey"] for r in merged})
 
 
