@@ -49,7 +49,7 @@ def assign(records: DataFrame, cluster: str, tier: str, order: str, ratios: list
     Clusters are numbered over all tiers and sizes at once, and a run of numbers gets a split: no task
     holds all clusters of a size.
     """
-    clusters = records.groupBy(cluster).agg((-F.count("*")).alias("_less"), F.min(tier).cast("int").alias("_tier"), F.min(order).alias("_first"))
+    clusters = records.groupBy(cluster).agg((-F.count("*")).alias("_less"), F.coalesce(F.min(tier).cast("int"), F.lit(-1)).alias("_tier"), F.min(order).alias("_first"))
     clusters = staged(clusters, "clusters")
     like = [(r["_tier"], -r["_less"], r["n"]) for r in clusters.groupBy("_tier", "_less").agg(F.count("*").alias("n")).collect()]
     runs, at, before = [], None, 0

@@ -545,17 +545,30 @@ def wi10_layered_places(spark, d):
     return n.select("arch_id", "node_id", (100 + 190 * (F.row_number().over(w.orderBy("node_id")) - 1)).cast("long").alias("x"), F.count("*").over(w).alias("in_layer"))
 
 
-@query()
+def _fold_sql(tier: str, targets: str, pick: str) -> str:
+    """The fold over clusters as a recursion: f has each cluster's place, what was given so far and its split."""
+    return f"""c AS (SELECT sha256(coalesce(text, '')) AS cluster, count(*) AS size, min({tier}) AS tier, min(doc_id) AS first FROM documents GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY tier, size DESC, first) AS i FROM c),
+t AS (SELECT {targets} FROM c), f AS (SELECT 0::BIGINT AS i, 0::BIGINT AS g0, 0::BIGINT AS g1, 0::BIGINT AS g2, 0 AS best UNION ALL
+  SELECT i, g0 + CASE best WHEN 0 THEN size ELSE 0 END, g1 + CASE best WHEN 1 THEN size ELSE 0 END, g2 + CASE best WHEN 2 THEN size ELSE 0 END, best FROM (SELECT o.i, o.size, g0, g1, g2, {pick} AS best FROM f JOIN o ON o.i = f.i + 1, t)),
+dealt AS (SELECT doc_id, ['train', 'validation', 'test'][best + 1] AS split FROM documents d JOIN o ON o.cluster = sha256(coalesce(d.text, '')) JOIN f ON f.i = o.i)"""
+
+
+_RELATIVE = _fold_sql("(n_chars // 100)::INT", "round_even(sum(size) * 0.9, 0) AS t0, round_even(sum(size) * 0.05, 0) AS t1, round_even(sum(size) * 0.05, 0) AS t2", "CASE WHEN (t2 - g2) / t2 >= (t1 - g1) / t1 AND (t2 - g2) / t2 >= (t0 - g0) / t0 THEN 2 WHEN (t1 - g1) / t1 >= (t0 - g0) / t0 THEN 1 ELSE 0 END")
+_ABSOLUTE = _fold_sql("0", "sum(size)::DOUBLE * 0.8::DOUBLE AS t0, sum(size)::DOUBLE * 0.1::DOUBLE AS t1, sum(size)::DOUBLE * 0.1::DOUBLE AS t2", "CASE WHEN t0 - g0 >= t1 - g1 AND t0 - g0 >= t2 - g2 THEN 0 WHEN t1 - g1 >= t2 - g2 THEN 1 ELSE 2 END")
+
+
+@query(f"WITH RECURSIVE {_RELATIVE} SELECT doc_id, split FROM dealt")
 def sp2_leakage_safe_split(spark, d):
-    """Documents of one text stay together; tiers by hundreds of characters.  Tested against the fold itself."""
+    """SP2: documents of one text stay together; tiers by hundreds of characters."""
     r = _docs(spark, d).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("cluster"), F.floor(F.col("n_chars") / 100).cast("int").alias("tier"))
     return splits.assign(r, "cluster", "tier", "doc_id").select("doc_id", "split")
 
 
-@query()
+@query(f"WITH RECURSIVE {_ABSOLUTE} SELECT doc_id, split FROM dealt")
 def sp3_group_split(spark, d):
+    """SP3: one tier, the split with most places open."""
     r = _docs(spark, d).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("cluster"), F.lit(0).alias("tier"))
-    return splits.assign(r, "cluster", "tier", "doc_id", [0.8, 0.1, 0.1], relative=False).groupBy("split").agg(F.count("*").alias("n"))
+    return splits.assign(r, "cluster", "tier", "doc_id", [0.8, 0.1, 0.1], relative=False).select("doc_id", "split")
 
 
 @query("SELECT user_id, count(DISTINCT CASE WHEN event_id % 10 < 8 THEN 'train' WHEN event_id % 10 = 8 THEN 'validation' ELSE 'test' END) AS splits FROM events GROUP BY 1 HAVING splits > 1")
