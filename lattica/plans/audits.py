@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lattica.functions import dims, parsing, scalar
 from lattica.operators import extract, graph, security, splits, stats
 from lattica.plans import gates
-from lattica.plans.registry import _ASSESS, _BAD, _LISTED, _NODE_THREATS, _RISK, _THREATS, _bad_graph, _docs, _listed, _nested_events, query
+from lattica.plans.registry import _ASSESS, _BAD, _CC, _LISTED, _NODE_THREATS, _RISK, _SCORES, _THREATS, _bad_graph, _docs, _listed, _nested_events, query
 from lattica.plans.views import EG, SG, _sql_first, event_graph, security_graph, table
 from lattica.sources import readers, writers
 from lattica.sources.staging import shared_path, staged
@@ -108,6 +108,20 @@ def gr18_connected_records(spark, d):
     return extract.verify(records, parents).select("id", F.array_contains("problems", "disconnected").alias("disconnected"))
 
 
+@query(f"""WITH RECURSIVE {EG}, {_CC}, {_SCORES}, c AS (SELECT arch_id, component, max(entry_score) AS entry, count(*) AS size, arg_min(node_id, (-root_score, node_id)) AS root FROM cc JOIN scores USING (arch_id, node_id) GROUP BY 1, 2),
+main AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arch_id ORDER BY entry DESC, size DESC, component) AS r FROM c) WHERE r = 1), ids AS (SELECT arch_id, component, string_agg(node_id, ',' ORDER BY node_id) AS ids FROM cc GROUP BY 1, 2),
+inside AS (SELECT e.arch_id, cc.component, count(*) AS m FROM edges e JOIN cc ON cc.arch_id = e.arch_id AND cc.node_id = e.source GROUP BY 1, 2), total AS (SELECT arch_id, sum(size) AS n FROM c GROUP BY 1), g AS (SELECT arch_id, CASE WHEN n < 2 THEN 'insufficient_nodes' WHEN arch_id NOT IN (SELECT arch_id FROM edges) THEN 'no_edges' WHEN size < 2 THEN 'component_too_small' END AS reason, root, size, ids, m
+FROM main JOIN total USING (arch_id) JOIN ids USING (arch_id, component) LEFT JOIN inside USING (arch_id, component)) SELECT arch_id, reason, CASE WHEN reason IS NULL THEN root END AS root, CASE WHEN reason IS NULL THEN least(10, size) ELSE 0 END AS n_nodes, CASE WHEN reason IS NULL AND size <= 10 THEN ids END AS ids, CASE WHEN reason IS NULL AND size <= 10 THEN least(15, m) END AS n_edges FROM g""")
+def gr13_gr16_extraction_bounds(spark, d):
+    """GR13, GR14, GR16: reason, root and size of every extraction; its nodes and edges too where the component is within the limit."""
+    g = _nested_events(spark, d)
+    n, e = event_graph(spark, d)
+    size = graph.main_components(n, e).select(F.col("arch_id").cast("long").alias("arch_id"), "size")
+    small = F.col("reason").isNull() & (F.col("size") <= dims.MAX_NODES)
+    names = F.transform("nodes", lambda x: x["id"])
+    return extract.extract(g).join(size, "arch_id").select("arch_id", "reason", F.get(names, F.lit(0)).alias("root"), F.size("nodes").alias("n_nodes"), F.when(small, F.array_join(F.array_sort(names), ",")).alias("ids"), F.when(small, F.size("edges")).alias("n_edges"))
+
+
 _CLEAN = "x AS (SELECT arch_id, n, m, row_number() OVER (ORDER BY arch_id) AS place FROM s WHERE m > 0)"
 _TEMPLATE = "Task: {description} End"
 
