@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, fresh, mix64, read_table, released, staged, text_rows, tune
+from .common import batches, drop_staged, fresh, mix64, read_table, released, staged, text_rows, tune
 from .components import components
 
 _U = np.uint64
@@ -541,9 +541,11 @@ def _to_test(units: DataFrame, labels: DataFrame | None, tested: DataFrame | Non
 def _linked(found: DataFrame, rows: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(node, component) of the classes that have links."""
     spark = rows.sparkSession
-    units = _units(staged(_members(found, num, den), "jaccard-members"))
-    small = staged(found.where("role = 3").select("a", "b").distinct(), "jaccard-small-pairs")
-    small = _near(small, classes, num, den)
+    members = staged(_members(found, num, den), "jaccard-members")
+    units = _units(members)
+    drop_staged(spark, members)
+    few = staged(found.where("role = 3").select("a", "b").distinct(), "jaccard-few")
+    small = _near(few, classes, num, den)
     labels = tested = edges = None
     for turn in itertools.count():
         chosen = staged(_to_test(units, labels, tested, classes, 4 << 3 * turn, num, den), "jaccard-chosen")
@@ -586,6 +588,7 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     found = staged(_shared_keys(texts, total, k, num, den), "jaccard-found")
     released(spark)
     labels = _linked(found, rows, small, k, num, den)
+    drop_staged(spark, found, small)
 
     named = by_set.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     if by_set.where("shared").isEmpty():  # classes go by their least id, and so do components
