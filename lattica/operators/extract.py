@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import dims, scalar
 from lattica.operators import security
-from lattica.sources.staging import staged
+from lattica.sources.staging import by_shuffle, staged
 
 SUBGRAPH = "arch_id long, nodes array<struct<id:string,type:string>>, edges array<struct<source:string,target:string,label:string>>, reason string"
 #: How a record says it was made, and the keys of its parts.
@@ -210,8 +210,8 @@ def records(graphs: DataFrame) -> DataFrame:
     made = (source, source, F.lit(METHOD), F.lit(VERSION), F.transform("nodes", lambda x: x["id"]), edge_keys(F.col("edges")), ratio(F.col("nodes"), F.col("all_nodes")), ratio(F.col("edges"), F.col("all_edges")))
     limits = F.struct(F.lit(dims.MAX_NODES).alias("max_nodes"), F.lit(dims.MAX_EDGES).alias("max_edges"))
     provenance = F.struct(*(c.alias(k) for k, c in zip(PROVENANCE, made)), limits.alias("contract"))
-    with_parent = found.join(parents, "arch_id").select(F.concat(source, F.lit("#S1")).alias("id"), "arch_id", source.alias("parent_id"), "nodes", "edges", provenance.alias("provenance"))
-    return with_parent.join(security.records(n, e), "arch_id")
+    with_parent = found.join(by_shuffle(parents), "arch_id").select(F.concat(source, F.lit("#S1")).alias("id"), "arch_id", source.alias("parent_id"), "nodes", "edges", provenance.alias("provenance"))
+    return with_parent.join(by_shuffle(security.records(n, e)), "arch_id")
 
 
 def verify(subgraphs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def verify(subgraphs: DataFrame, parents: DataFrame) -> DataFrame:
     subgraphs: as records() makes them; a record without parent_id or with an unknown one has no parent.
     """
     p = parents.select(F.col("arch_id").cast("string").alias("_parent"), F.col("nodes").alias("p_nodes"), F.col("edges").alias("p_edges"))
-    s = subgraphs.join(p, F.col("parent_id") == F.col("_parent"), "left")
+    s = subgraphs.join(by_shuffle(p), F.col("parent_id") == F.col("_parent"), "left")
     n, e, made = F.col("nodes"), F.col("edges"), F.col("provenance")
     ids, parent_ids = F.transform(n, lambda x: x["id"]), F.transform("p_nodes", lambda x: x["id"])
     own, whole = edge_keys(e), edge_keys(F.col("p_edges"))

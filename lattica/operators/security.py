@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import dims, scalar
-from lattica.sources.staging import staged
+from lattica.sources.staging import by_shuffle, staged
 
 
 def _json_text(mode: str = "dataset") -> Column:
@@ -106,14 +106,14 @@ def node_threats(nodes: DataFrame, found: DataFrame) -> DataFrame:
     One pass over the nodes lists the controls of each, which then meet the threats by graph and control.
     """
     protected = nodes.select("arch_id", "node_id", F.explode(_protected_by()).alias("control"))
-    return protected.join(found, ["arch_id", "control"]).select("arch_id", "node_id", "threat", "severity", "control")
+    return protected.join(by_shuffle(found), ["arch_id", "control"]).select("arch_id", "node_id", "threat", "severity", "control")
 
 
 def edge_threats(nodes: DataFrame, edges: DataFrame, found: DataFrame, keep_all: bool = False) -> DataFrame:
     """JO9: a row for every edge with an affected end.  keep_all (JO17): edges without threats stay, with nulls."""
     hit = node_threats(nodes, found).withColumnRenamed("node_id", "end")
     named = edges.select("arch_id", F.concat("source", F.lit("->"), "target").alias("edge"), F.explode(F.array("source", "target")).alias("end"))
-    rows = named.join(hit, ["arch_id", "end"]).select("arch_id", "edge", "threat", "severity", "control").distinct()
+    rows = named.join(by_shuffle(hit), ["arch_id", "end"]).select("arch_id", "edge", "threat", "severity", "control").distinct()
     return named.select("arch_id", "edge").distinct().join(rows, ["arch_id", "edge"], "left") if keep_all else rows
 
 
@@ -129,9 +129,9 @@ def records(nodes: DataFrame, edges: DataFrame, mode: str = "dataset") -> DataFr
     level = found.select("arch_id", "threat", "severity_level")
     by = []
     for name, rows in (("node", node_threats(nodes, found).withColumnRenamed("node_id", "node")), ("edge", edge_threats(nodes, edges, found))):
-        of_one = rows.join(level, ["arch_id", "threat"]).groupBy("arch_id", name).agg(F.array_sort(F.collect_list(entry)).alias("threats"))
+        of_one = rows.join(by_shuffle(level), ["arch_id", "threat"]).groupBy("arch_id", name).agg(F.array_sort(F.collect_list(entry)).alias("threats"))
         by.append(of_one.groupBy("arch_id").agg(F.array_sort(F.collect_list(F.struct(name, "threats"))).alias(f"{name}_threats")))
-    out = reduce(lambda a, b: a.join(b, "arch_id", "left"), by, assessed.join(listed, "arch_id", "left"))
+    out = reduce(lambda a, b: a.join(by_shuffle(b), "arch_id", "left"), [listed, *by], assessed)
     none = lambda c: F.coalesce(c, F.array().cast(dict(out.dtypes)[c]))
     surface = F.struct(F.col("surface_score").alias("attack_surface_score"), *dims.SURFACE)
     record = F.struct(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions import dims, parsing, scalar
 from lattica.operators import extract, graph, security, splits
+from lattica.sources.staging import staged
 
 
 def frames(spark, types, edges, arch=1):
@@ -169,6 +170,18 @@ def test_records_and_their_checks(spark):
     assert [x["problems"] for x in extract.verify(unlinked, parents).collect()] == [["disconnected", "provenance_edge_ids", "provenance_edge_ratio"]]
 
 
+def test_records_are_joined_by_shuffle(spark):
+    """Staged files are small, their rows are not: no join of records or of their checks sends a table through the driver."""
+    parents = staged(spark.createDataFrame([(1, [("web", "ui"), ("db", "database")], [("web", "db", "HTTP")])], "arch_id long, nodes array<struct<id:string,type:string>>, edges array<struct<source:string,target:string,label:string>>"), "parents")
+    made = extract.records(parents)
+    checked = extract.verify(made, parents)
+    assert made.first()["security"]["node_threats"] and [x["problems"] for x in checked.collect()] == [[]]
+    for df in (made, checked):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_late_rejections(spark):
     nodes = [("web", "ui"), ("api", "odd")]
     g = spark.createDataFrame([(1, nodes, [("web", "api", "HTTP")])], "arch_id long, nodes array<struct<id:string,type:string>>, edges array<struct<source:string,target:string,label:string>>")
